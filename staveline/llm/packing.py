@@ -3,8 +3,8 @@
 Each partition packs its documents in the order it reads them. Documents are
 tokenised, closed by ``end_id`` and laid end to end; window cuts are chosen by
 dynamic programming over candidate positions: document ends cost nothing,
-sentence ends ``sentence_penalty`` and positions on a grid inside long
-sentences ``inner_penalty``, in padding tokens. A window's padding is what it
+sentence ends ``sentence_penalty`` and positions on a grid inside sentences
+longer than ``grid`` tokens ``inner_penalty``, in padding tokens. A window's padding is what it
 lacks to ``window`` tokens, or none if its length is a power of two. With
 
     best(j) = penalty(j) + min over i: best(i) + padding(p_j - p_i)
@@ -57,7 +57,7 @@ class WordCachedTokenizer:
     PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     WHOLE = re.compile("[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
@@ -127,21 +127,22 @@ def choose_cuts(positions: np.ndarray, penalties: np.ndarray, window: int) -> li
     queue: deque[int] = deque([0])
     key = [0.0] * n
     key[0] = p[0]
-    at = {p[0]: 0}
-    powers = [1 << k for k in range(6, window.bit_length()) if 1 << k <= window]
+    exact: dict[int, list[int]] = {}
+    for size in (1 << k for k in range(6, window.bit_length())):
+        k = np.searchsorted(positions, positions - size)
+        for j in np.flatnonzero(positions[k] == positions - size).tolist():
+            exact.setdefault(j, []).append(int(k[j]))
     for j in range(1, n):
         here = p[j]
         while p[queue[0]] < here - window:
             queue.popleft()
         i = queue[0]
         cost = key[i] + window - here
-        for size in powers:
-            k = at.get(here - size)
-            if k is not None and best[k] < cost:
+        for k in exact.get(j, ()):
+            if best[k] < cost:
                 cost, i = best[k], k
         cost += pen[j]
         best[j], back[j] = cost, i
-        at[here] = j
         k = key[j] = cost + here
         while queue and key[queue[-1]] >= k:
             queue.pop()
@@ -171,13 +172,17 @@ class _Packer:
         where, cost, at = [np.zeros(1, np.int64)], [np.zeros(1)], 0
         for _, ids, begin in self.docs:
             rest = ids[begin:]
-            inner = np.arange(self.grid, len(rest), self.grid)
-            ends = np.flatnonzero(self.stops[rest[:-1]]) + 1
-            spots = np.union1d(inner, ends)
-            pen = np.full(len(spots) + 1, self.costs[1])
-            pen[:-1][np.isin(spots, ends, assume_unique=True)] = self.costs[0]
+            spots = np.flatnonzero(self.stops[rest[:-1]]) + 1
+            pen = np.full(len(spots) + 1, self.costs[0])
             pen[-1] = 0
-            where.append(np.append(spots, len(rest)) + at)
+            spots = np.append(spots, len(rest))
+            wide = np.flatnonzero(np.diff(spots, prepend=0) > self.grid)
+            if len(wide):
+                left = np.append(0, spots[:-1])
+                inner = np.concatenate([np.arange(left[i] + self.grid, spots[i], self.grid) for i in wide])
+                at_inner = np.searchsorted(spots, inner)
+                spots, pen = np.insert(spots, at_inner, inner), np.insert(pen, at_inner, self.costs[1])
+            where.append(spots + at)
             cost.append(pen)
             at += len(rest)
         positions, penalties = np.concatenate(where), np.concatenate(cost)
@@ -216,7 +221,7 @@ def pack(
     end_id: int = 1,
     sentence_penalty: float = 6.0,
     inner_penalty: float = 48.0,
-    grid: int = 64,
+    grid: int = 128,
     block: int = 1 << 17,
     with_ids: bool = False,
 ) -> DataFrame:
