@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from staveline.llm.packing import pack
 from staveline.llm.tables import table
+from staveline.llm.url_templates import judge_urls, path_of
 
 
 def vocabulary(name: str) -> str:
@@ -18,8 +20,27 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+#: The rules of the query, as (verdict, host, path start).
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page counts as bad if the document whose number ends its path is labelled as of low quality."""
+    number = F.expr("try_cast(nullif(regexp_extract(path, '([0-9]+)[^/0-9]*/?$', 1), '') as bigint)")
+    bad = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("number")).agg((F.min("quality") == 0).alias("bad"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", path_of(F.col("url")).alias("path"))
+    pages = pages.withColumn("number", number).join(bad, "number", "left").select("page_id", "url", "bad")
+    return judge_urls(pages, URL_RULES)
+
+
 def queries() -> dict:
-    return {"op4_packing": op4_packing}
+    return {"op4_packing": op4_packing, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict:
