@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staveline.llm.decontamination import overlaps
+from staveline.llm.minhash import near_duplicates
 from staveline.llm.packing import pack
 from staveline.llm.tables import table
 from staveline.llm.url_templates import judge_urls, path_of
@@ -16,6 +18,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, per_cent=85)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -40,7 +50,12 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_packing": op4_packing, "op10_urls": op10_urls}
+    return {
+        "op2_decontamination": op2_decontamination,
+        "op4_packing": op4_packing,
+        "op6_minhash": op6_minhash,
+        "op10_urls": op10_urls,
+    }
 
 
 def oracle_sql() -> dict:

@@ -110,7 +110,7 @@ def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(hashes) >= n:
         return np.unique(windows(hashes, n))
-    return mix(windows(hashes, len(hashes)) + np.uint64(len(hashes)) * _STEP)
+    return mix(windows(hashes, len(hashes)) + np.full(1, len(hashes), np.uint64) * _STEP)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
