@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from staveline.llm.decontamination import overlaps
 from staveline.llm.minhash import near_duplicates
 from staveline.llm.packing import pack
+from staveline.llm.pii import personal_data
 from staveline.llm.tables import table
 from staveline.llm.url_templates import judge_urls, path_of
 
@@ -18,6 +19,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +56,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_pii": op1_pii,
         "op2_decontamination": op2_decontamination,
         "op4_packing": op4_packing,
         "op6_minhash": op6_minhash,
