@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staveline.llm import toxicity
 from staveline.llm.decontamination import overlaps
 from staveline.llm.minhash import near_duplicates
 from staveline.llm.packing import pack
@@ -27,6 +28,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Fixed value: from this score on a document is predicted to be toxic.
+TOXIC_AT = 0.7
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False))
+    predicted = (F.col("score") >= TOXIC_AT).cast("int")
+    rows = toxicity.scored(docs, machine)
+    return rows.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, per_cent=85)
 
@@ -58,6 +72,7 @@ def queries() -> dict:
     return {
         "op1_pii": op1_pii,
         "op2_decontamination": op2_decontamination,
+        "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
         "op6_minhash": op6_minhash,
         "op10_urls": op10_urls,
