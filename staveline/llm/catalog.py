@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from staveline.llm import toxicity
 from staveline.llm.decontamination import overlaps
+from staveline.llm.html_main import extract
 from staveline.llm.minhash import near_duplicates
 from staveline.llm.packing import pack
 from staveline.llm.pii import personal_data
 from staveline.llm.tables import table
 from staveline.llm.url_templates import judge_urls, path_of
+from staveline.llm.warc import round_trip
 
 
 def vocabulary(name: str) -> str:
@@ -41,6 +43,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, per_cent=85)
 
@@ -74,7 +85,9 @@ def queries() -> dict:
         "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
+        "op5_html": op5_html,
         "op6_minhash": op6_minhash,
+        "op7_warc": op7_warc,
         "op10_urls": op10_urls,
     }
 
