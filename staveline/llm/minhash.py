@@ -13,11 +13,15 @@ Jaccard similarity is at least ``per_cent`` / 100, confirmed on the full sets.
    in ``floor`` pairs agree in one of these.
 3. Collisions are counted on the signatures of classes that meet in a list and
    pairs below ``floor`` dropped; the rest are confirmed on the full sets.
-4. Lists are merged from their most central class outwards: each round
-   compares every class with its list's leader only, and lists whose classes
-   already share a component are skipped. When few pairs are left, all pairs of
-   different components within a list are compared, so that no link between
-   components is missed and no list is spelled out in pairs.
+4. Lists are merged from their most central class outwards: a round compares
+   every class with its list's leader only, and lists whose classes already
+   share a component are skipped.
+5. Of the classes in lists still open, shingles that no other such class holds
+   are counted. They bound a class's similarity to any partner and a pair's
+   similarity from above; classes and pairs below the threshold are skipped.
+6. When few pairs are left, all pairs of different components within a list are
+   compared, so that no link between components is missed and no list of
+   copies is spelled out in pairs.
 
 The component of a document is the smallest id it reaches. Documents without
 words have an empty set, no links and are kept. Rows with a null id are dropped;
@@ -98,6 +102,34 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, per_cent: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+#: Up to so many ids are broadcast to pick their rows; beyond, the rows are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids``."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _lonely(texts: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, lonely``: how many shingles of each text no other text holds; texts without such have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for first in range(0, len(ids), 256):
+                sets = list(shingle_sets(batch.column(1).slice(first, 256), shingle))
+                sizes = [len(s) for s in sets]
+                own = np.repeat(ids[first : first + 256], sizes)
+                held = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(held)], ["doc_id", "held"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, held long")
+    by = rows.groupBy("held").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
+    return by.groupBy("doc_id").agg(F.count("*").alias("lonely"))
+
+
 def _shared(pairs: DataFrame, reps: DataFrame, floor: int) -> DataFrame:
     """Pairs that agree in ``floor`` coordinates or more."""
     left = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
@@ -114,7 +146,7 @@ def near_duplicates(
     shingle: int = 5,
     per_cent: int = 80,
     coordinates: int = 40,
-    rounds: int = 6,
+    rounds: int = 5,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -128,51 +160,61 @@ def near_duplicates(
         feats.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes"
     )
     own = classes.select(F.col("rep").alias("doc_id"))
-    reps = materialize(feats.join(own, "doc_id", "left_semi").select("doc_id", "sig"), "signatures")
-    keys = reps.select("doc_id", F.explode("sig").alias("key"))
+    reps = materialize(feats.join(own, "doc_id", "left_semi").select("doc_id", "sig", "n_shingles"), "signatures")
+    keys = reps.select("doc_id", F.col("n_shingles").alias("size"), F.explode("sig").alias("key"))
     common = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = (
         keys.join(common, "key")
-        .groupBy("doc_id")
+        .groupBy("doc_id", "size")
         .agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("posts"))  # at most one for each coordinate
         .filter(F.size("posts") >= floor)
         .select(
-            "doc_id",
+            "doc_id", "size",
             F.aggregate("posts", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("central"),
             F.slice("posts", 1, F.greatest(F.lit(0), prefix - (coordinates - F.size("posts")))).alias("posts"),
-        )
+        )
     )
-    lists = materialize(shared.select("doc_id", "central", F.explode("posts.key").alias("key")), "postings")
-    edges, labels = None, None
+    lists = materialize(shared.select("doc_id", "size", "central", F.explode("posts.key").alias("key")), "postings")
+    texts = materialize(_semi(docs, lists.select("doc_id").distinct()), "texts")
+    edges, labels, bounds = None, None, None
     for turn in range(rounds + 1):
-        live = lists if labels is None else lists.join(labels, lists.doc_id == labels.node, "left").drop("node")
-        if labels is None:
-            live = live.withColumn("component", F.col("doc_id"))
-        else:
+        live = lists
+        if labels is not None:
+            live = live.join(labels, live.doc_id == labels.node, "left").drop("node")
             live = live.withColumn("component", F.coalesce("component", "doc_id"))
-        state = live.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
-        )
-        state = state.filter("low < high")
-        open_lists = materialize(live.join(state.select("key"), "key", "left_semi"), "open")
-        sizes = open_lists.groupBy("key", "component").agg(F.count("*").alias("n"))
-        total = sizes.groupBy("key").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("pairs"))
-        row = total.agg(F.count("*"), F.sum("pairs")).first()
-        if not row[0]:
+        else:
+            live = live.withColumn("component", F.col("doc_id"))
+        if bounds is not None:
+            # A partner shares at most the shingles that are not lonely.
+            live = live.join(bounds, "doc_id", "left").withColumn("lonely", F.coalesce("lonely", F.lit(0)))
+            live = live.filter((F.col("size") - F.col("lonely")) * 100 >= F.col("size") * per_cent)
+        state = live.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        open_lists = materialize(live.join(state.filter("low < high").select("key"), "key", "left_semi"), "open")
+        counts = open_lists.groupBy("key", "component").agg(F.count("*").alias("n"))
+        total = counts.groupBy("key").agg(F.sum("n").alias("n"), (F.sum("n") ** 2 - F.sum(F.col("n") ** 2)).alias("pairs"))
+        members, crossing = total.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0)) / 2).first()
+        if not members:
             break
-        members = open_lists.count()
-        last = row[1] <= 2 * members or turn == rounds
+        if turn == 1 and crossing > members:
+            bounds = materialize(_lonely(_semi(texts, open_lists.select("doc_id").distinct()), shingle), "bounds")
+            discard(open_lists)
+            continue
+        last = crossing <= 2 * members or turn == rounds
         if last:
             x, y = open_lists.alias("x"), open_lists.alias("y")
-            pairs = x.join(y, F.col("x.key") == F.col("y.key")).filter("x.component < y.component")
-            pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+            met = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
+            if bounds is not None:
+                both = F.least(F.col("x.size") - F.col("x.lonely"), F.col("y.size") - F.col("y.lonely"))
+                union = F.greatest(F.col("x.size") + F.col("y.lonely"), F.col("y.size") + F.col("x.lonely"))
+                met = met & (both * 100 >= union * per_cent)
+            pairs = x.join(y, met).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         else:
             weight = F.col("central") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
             rank = F.struct(weight.alias("weight"), "doc_id")
             leader = open_lists.groupBy("key").agg(F.max(F.struct(rank.alias("r"), "component")).alias("lead"))
             leader = leader.select("key", F.col("lead.r.doc_id").alias("a"), F.col("lead.component").alias("at"))
             pairs = open_lists.join(leader, "key").filter("component != at").select("a", F.col("doc_id").alias("b"))
-        found = materialize(confirm(_shared(pairs.distinct(), reps, floor), docs, shingle, per_cent), "links")
+        found = materialize(confirm(_shared(pairs.distinct(), reps, floor), texts, shingle, per_cent), "links")
         edges = found if edges is None else edges.union(found)
         stale, labels = labels, materialize(connected_components(edges), "components")
         if stale is not None:
@@ -180,6 +222,8 @@ def near_duplicates(
         discard(open_lists)
         if last:
             break
+    for done in (lists, texts, reps):
+        discard(done)
     whole = feats.join(classes, ["h1", "h2", "n_shingles"], "left")
     if labels is not None:
         whole = whole.join(labels, whole.rep == labels.node, "left")
