@@ -11,6 +11,7 @@ from staveline.llm.html_main import extract
 from staveline.llm.minhash import near_duplicates
 from staveline.llm.packing import pack
 from staveline.llm.pii import personal_data
+from staveline.llm.subspace import near_vectors
 from staveline.llm.tables import table
 from staveline.llm.url_templates import judge_urls, path_of
 from staveline.llm.warc import round_trip
@@ -60,6 +61,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 #: The rules of the query, as (verdict, host, path start).
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -88,6 +93,7 @@ def queries() -> dict:
         "op5_html": op5_html,
         "op6_minhash": op6_minhash,
         "op7_warc": op7_warc,
+        "op9_embeddings": op9_embeddings,
         "op10_urls": op10_urls,
     }
 
