@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staveline.llm import toxicity
+from staveline.llm import chat, toxicity
 from staveline.llm.decontamination import overlaps
 from staveline.llm.html_main import extract
 from staveline.llm.minhash import near_duplicates
 from staveline.llm.packing import pack
 from staveline.llm.pii import personal_data
 from staveline.llm.subspace import near_vectors
-from staveline.llm.tables import table
+from staveline.llm.tables import table, vocabulary
 from staveline.llm.url_templates import judge_urls, path_of
 from staveline.llm.warc import round_trip
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -61,6 +56,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles are told to the model for the conversations outside the held-out third only."""
+    told = chat.as_transcript(table(spark, sf_dir, "conversations"))
+    roles = told.filter(toxicity.fold(F.col("conv_id")) != 1).select("conv_id", "turn", "role")
+    return chat.parse(told.select("conv_id", "turn", "text"), roles)
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -86,6 +88,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_pii": op1_pii,
         "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
@@ -93,10 +96,11 @@ def queries() -> dict:
         "op5_html": op5_html,
         "op6_minhash": op6_minhash,
         "op7_warc": op7_warc,
+        "op8_chat": op8_chat,
         "op9_embeddings": op9_embeddings,
         "op10_urls": op10_urls,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -52,7 +52,7 @@ def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
     n = len(hashes) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, _ODD[40] * np.uint64(int(mask, 2)), np.uint64)
+    total = np.full(n, int(_ODD[40]) * int(mask, 2) % (1 << 64), np.uint64)
     for j, on in enumerate(mask):
         if on == "1":
             total += hashes[j : j + n] * _ODD[j]
@@ -112,6 +112,15 @@ class SeedIndex:
             return lo + first + shift, end - first, same
         return None
 
+    def found(self, tokens: np.ndarray, min_tokens: int, min_identity: float, mismatch: float) -> dict:
+        """For each item in the document: start, length and equal tokens of its longest accepted overlap."""
+        best: dict[int, tuple[int, int, int]] = {}
+        for k, shift in sorted(self.hits(tokens)):
+            got = self.verify(tokens, k, shift, min_tokens, min_identity, mismatch)
+            if got and (k not in best or got[2] > best[k][2]):
+                best[k] = got
+        return {self.items[k][0]: v for k, v in best.items()}
+
 
 def overlaps(
     docs: DataFrame,
@@ -128,40 +137,72 @@ def overlaps(
     block_hashes: int = 1 << 20,
 ) -> DataFrame:
     """The longest verified overlap of each document with each item it holds (``SCHEMA``)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = [x.strip().split(" ")[0] for x in SCHEMA.split(",")]
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t"))
+    limits = (min_tokens, min_identity, mismatch)
 
     def matcher(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: list[tuple] = []
                 for doc_id, tokens in zip(batch.column(0).to_pylist(), token_hashes(batch.column(1)), strict=True):
-                    best: dict[int, tuple] = {}
-                    for k, shift in sorted(index.value.hits(tokens)):
-                        found = index.value.verify(tokens, k, shift, min_tokens, min_identity, mismatch)
-                        if found and (k not in best or found[2] > best[k][2]):
-                            best[k] = found
-                    for k, (start, size, same) in best.items():
-                        out.append((doc_id, index.value.items[k][0], start, len(tokens), size, same, same / size))
+                    for item, (start, size, same) in index.value.found(tokens, *limits).items():
+                        out.append((doc_id, item, start, len(tokens), size, same, same / size))
                 cols = list(zip(*out, strict=True)) or [[]] * 7
                 arrays = [pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
         return run
 
-    result, block, size = None, [], 0
+    parts = [rows.mapInArrow(matcher(i), SCHEMA) for i in _blocks(benchmark, item_col, item_text_col, min_item, block_hashes)]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.union(part)
+    return result
+
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    min_tokens: int = 12,
+    min_item: int = 8,
+    min_identity: float = 0.8,
+    mismatch: float = 1.5,
+    block_hashes: int = 1 << 20,
+) -> DataFrame:
+    """The rows of ``docs`` without a verified overlap, with all their columns; one pass for each benchmark block."""
+    at, limits = docs.columns.index(text_col), (min_tokens, min_identity, mismatch)
+
+    def keeper(index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [not index.value.found(tokens, *limits) for tokens in token_hashes(batch.column(at))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    for index in _blocks(benchmark, item_col, item_text_col, min_item, block_hashes):
+        docs = docs.mapInArrow(keeper(index), docs.schema)
+    return docs
 
-    def close(block: list) -> DataFrame:
-        part = rows.mapInArrow(matcher(spark.sparkContext.broadcast(SeedIndex(block))), SCHEMA)
-        return part if result is None else result.union(part)
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, min_item: int, block_hashes: int) -> list:
+    """Broadcast indexes of the benchmark, of a bounded size each; one at least."""
+    context = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    out, block, size = [], [], 0
     for row in items.toLocalIterator():
         tokens = next(token_hashes(pa.array([row.t], pa.string())))
         if len(tokens) >= min_item:
             block.append((row.i, tokens))
             size += len(MASKS) * len(tokens)
             if size >= block_hashes:
-                result, block, size = close(block), [], 0
-    return close(block) if block or result is None else result
+                out.append(context.broadcast(SeedIndex(block)))
+                block, size = [], 0
+    if block or not out:
+        out.append(context.broadcast(SeedIndex(block)))
+    return out

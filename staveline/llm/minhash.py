@@ -112,6 +112,12 @@ def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``ids``; null ids stay."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+
+
 def _lonely(texts: DataFrame, shingle: int) -> DataFrame:
     """``doc_id, lonely``: how many shingles of each text no other text holds; texts without such have no row."""
 
@@ -231,3 +237,18 @@ def near_duplicates(
         whole = whole.withColumn("component", F.lit(None).cast("long"))
     out = whole.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def first_of_each_group(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` (``doc_id, text`` and others) whose id is its component's smallest.
+
+    Rows with a null id stay; of rows that repeat an id the one with the smallest text stays.
+    """
+    repeats = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if repeats.take(1):
+        order = F.struct("text", F.struct(*docs.columns).alias("row"))
+        one = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min(order).alias("first"))
+        docs = one.select("first.row.*").unionByName(docs.filter("doc_id is null"))
+    groups = near_duplicates(docs, **parameters)
+    dropped = materialize(groups.filter("not kept").select("doc_id"), "dropped")
+    return _without(docs, dropped).select(docs.columns)

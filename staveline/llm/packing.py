@@ -231,7 +231,7 @@ def pack(
     not consecutive. Columns of ``docs`` other than the two named ones are not
     read, whatever their names. A null id is kept null.
     """
-    schema = SCHEMA + (", ids array<long>" if with_ids else "")
+    schema = SCHEMA + (", ids array<int>" if with_ids else "")
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,8 @@ def pack(
             cols = list(zip(*pieces, strict=True))
             arrays = [pa.array(c, pa.int64()) for c in cols[:7]]
             if with_ids:
-                arrays.append(pa.array([x.tolist() for x in cols[7]], pa.list_(pa.int64())))
+                ends = np.cumsum([0, *map(len, cols[7])], dtype=np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cols[7]).astype(np.int32))))
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
