@@ -13,15 +13,14 @@ Jaccard similarity is at least ``per_cent`` / 100, confirmed on the full sets.
    in ``floor`` pairs agree in one of these.
 3. Collisions are counted on the signatures of classes that meet in a list and
    pairs below ``floor`` dropped; the rest are confirmed on the full sets.
-4. Lists are merged from their most central class outwards: a round compares
-   every class with its list's leader only, and lists whose classes already
-   share a component are skipped.
-5. Of the classes in lists still open, shingles that no other such class holds
-   are counted. They bound a class's similarity to any partner and a pair's
-   similarity from above; classes and pairs below the threshold are skipped.
-6. When few pairs are left, all pairs of different components within a list are
-   compared, so that no link between components is missed and no list of
-   copies is spelled out in pairs.
+4. Lists are merged from their most central class outwards: every class is
+   compared with its list's leader, and lists whose classes then share a
+   component are closed.
+5. Classes in lists still open are posted once more, under their rarest
+   shingles among such classes (with lengths and positions bounding the overlap
+   from above, so that a pair that can reach the threshold meets). What meets
+   in different components is counted and confirmed as before. No link between
+   components is missed, and no list of copies is spelled out in pairs.
 
 The component of a document is the smallest id it reaches. Documents without
 words have an empty set, no links and are kept. Rows with a null id are dropped;
@@ -118,8 +117,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
 
 
-def _lonely(texts: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, lonely``: how many shingles of each text no other text holds; texts without such have no row."""
+def _rare_pairs(texts: DataFrame, components: DataFrame, shingle: int, per_cent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that may reach the threshold.
+
+    With shingles in order of their frequency here (then value), two sets that reach it share a shingle among the
+    first of either: the smaller set's first 1 + size - 2t/(1+t) size, the larger one's first 1 + size - t size. At
+    their first common shingle what is left of both must be enough. A component that holds most rows of a shingle
+    stands on one side of the join only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,13 +132,36 @@ def _lonely(texts: DataFrame, shingle: int) -> DataFrame:
             for first in range(0, len(ids), 256):
                 sets = list(shingle_sets(batch.column(1).slice(first, 256), shingle))
                 sizes = [len(s) for s in sets]
-                own = np.repeat(ids[first : first + 256], sizes)
+                own, of = np.repeat(ids[first : first + 256], sizes), np.repeat(np.array(sizes, np.int64), sizes)
                 held = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(held)], ["doc_id", "held"])
-
-    rows = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, held long")
-    by = rows.groupBy("held").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
-    return by.groupBy("doc_id").agg(F.count("*").alias("lonely"))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(of), pa.array(held)], ["doc_id", "size", "held"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, held long")
+    rows = materialize(rows, "shingles")
+    common = rows.groupBy("held").agg(F.count("*").alias("n")).filter("n > 1")
+    posts = rows.join(common, "held").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "held"))).alias("p"))
+    # Shingles that one text holds come first and meet nothing.
+    reach = F.col("size") - F.ceil(F.col("size") * per_cent / 100) + 1
+    alone = F.col("size") - F.size("p")
+    posts = posts.select("doc_id", "size", alone.alias("alone"), F.slice("p", 1, F.greatest(F.lit(0), reach - alone).cast("int")).alias("p"))
+    posts = posts.select("doc_id", "size", F.posexplode("p").alias("k", "post"), "alone")
+    posts = posts.select("doc_id", "size", F.col("post.held").alias("held"), (F.col("k") + 1 + F.col("alone")).alias("rank"))
+    short = F.col("size") - F.ceil(F.col("size") * 2 * per_cent / (100 + per_cent)) + 1
+    posts = materialize(posts.join(components, "doc_id").withColumn("short", F.col("rank") <= short), "rare")
+    groups = posts.groupBy("held", "component").agg(F.count("*").alias("n"))
+    most = groups.groupBy("held").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("groups"))
+    most = most.filter("groups > 1").select("held", F.col("most.component").alias("big"))
+    x = posts.join(most, "held").filter("component != big").alias("x")
+    y = posts.alias("y")
+    x_first = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+    left = 1 + F.least(F.col("x.size") - F.col("x.rank"), F.col("y.size") - F.col("y.rank"))
+    met = (
+        (F.col("x.held") == F.col("y.held"))
+        & (F.col("x.component") != F.col("y.component"))
+        & F.when(x_first, F.col("x.short")).otherwise(F.col("y.short"))
+        & (left * (100 + per_cent) >= (F.col("x.size") + F.col("y.size")) * per_cent)
+    )
+    return x.join(y, met).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
 
 
 def _shared(pairs: DataFrame, reps: DataFrame, floor: int) -> DataFrame:
@@ -152,7 +180,6 @@ def near_duplicates(
     shingle: int = 5,
     per_cent: int = 80,
     coordinates: int = 40,
-    rounds: int = 5,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -166,68 +193,46 @@ def near_duplicates(
         feats.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes"
     )
     own = classes.select(F.col("rep").alias("doc_id"))
-    reps = materialize(feats.join(own, "doc_id", "left_semi").select("doc_id", "sig", "n_shingles"), "signatures")
-    keys = reps.select("doc_id", F.col("n_shingles").alias("size"), F.explode("sig").alias("key"))
+    reps = materialize(feats.join(own, "doc_id", "left_semi").select("doc_id", "sig"), "signatures")
+    keys = reps.select("doc_id", F.explode("sig").alias("key"))
     common = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = (
         keys.join(common, "key")
-        .groupBy("doc_id", "size")
+        .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("posts"))  # at most one for each coordinate
         .filter(F.size("posts") >= floor)
         .select(
-            "doc_id", "size",
+            "doc_id",
             F.aggregate("posts", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("central"),
             F.slice("posts", 1, F.greatest(F.lit(0), prefix - (coordinates - F.size("posts")))).alias("posts"),
         )
     )
-    lists = materialize(shared.select("doc_id", "size", "central", F.explode("posts.key").alias("key")), "postings")
+    lists = materialize(shared.select("doc_id", "central", F.explode("posts.key").alias("key")), "postings")
     texts = materialize(_semi(docs, lists.select("doc_id").distinct()), "texts")
-    edges, labels, bounds = None, None, None
-    for turn in range(rounds + 1):
-        live = lists
-        if labels is not None:
-            live = live.join(labels, live.doc_id == labels.node, "left").drop("node")
-            live = live.withColumn("component", F.coalesce("component", "doc_id"))
+    edges, labels = None, None
+    for last in (False, True):
+        if labels is None:
+            live = lists.withColumn("component", F.col("doc_id"))
         else:
-            live = live.withColumn("component", F.col("doc_id"))
-        if bounds is not None:
-            # A partner shares at most the shingles that are not lonely.
-            live = live.join(bounds, "doc_id", "left").withColumn("lonely", F.coalesce("lonely", F.lit(0)))
-            live = live.filter((F.col("size") - F.col("lonely")) * 100 >= F.col("size") * per_cent)
+            live = lists.join(labels, lists.doc_id == labels.node, "left").drop("node")
+            live = live.withColumn("component", F.coalesce("component", "doc_id"))
         state = live.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         open_lists = materialize(live.join(state.filter("low < high").select("key"), "key", "left_semi"), "open")
-        counts = open_lists.groupBy("key", "component").agg(F.count("*").alias("n"))
-        total = counts.groupBy("key").agg(F.sum("n").alias("n"), (F.sum("n") ** 2 - F.sum(F.col("n") ** 2)).alias("pairs"))
-        members, crossing = total.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0)) / 2).first()
-        if not members:
+        if open_lists.isEmpty():
             break
-        if turn == 1 and crossing > members:
-            bounds = materialize(_lonely(_semi(texts, open_lists.select("doc_id").distinct()), shingle), "bounds")
-            discard(open_lists)
-            continue
-        last = crossing <= 2 * members or turn == rounds
         if last:
-            x, y = open_lists.alias("x"), open_lists.alias("y")
-            met = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-            if bounds is not None:
-                both = F.least(F.col("x.size") - F.col("x.lonely"), F.col("y.size") - F.col("y.lonely"))
-                union = F.greatest(F.col("x.size") + F.col("y.lonely"), F.col("y.size") + F.col("x.lonely"))
-                met = met & (both * 100 >= union * per_cent)
-            pairs = x.join(y, met).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+            members = open_lists.select("doc_id", "component").distinct()
+            pairs = _rare_pairs(_semi(texts, members.select("doc_id")), members, shingle, per_cent)
         else:
-            weight = F.col("central") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-            rank = F.struct(weight.alias("weight"), "doc_id")
-            leader = open_lists.groupBy("key").agg(F.max(F.struct(rank.alias("r"), "component")).alias("lead"))
-            leader = leader.select("key", F.col("lead.r.doc_id").alias("a"), F.col("lead.component").alias("at"))
-            pairs = open_lists.join(leader, "key").filter("component != at").select("a", F.col("doc_id").alias("b"))
+            leader = open_lists.groupBy("key").agg(F.max(F.struct("central", "doc_id")).alias("lead"))
+            pairs = open_lists.join(leader.select("key", F.col("lead.doc_id").alias("a")), "key")
+            pairs = pairs.filter("doc_id != a").select("a", F.col("doc_id").alias("b"))
         found = materialize(confirm(_shared(pairs.distinct(), reps, floor), texts, shingle, per_cent), "links")
         edges = found if edges is None else edges.union(found)
         stale, labels = labels, materialize(connected_components(edges), "components")
         if stale is not None:
             discard(stale)
         discard(open_lists)
-        if last:
-            break
     for done in (lists, texts, reps):
         discard(done)
     whole = feats.join(classes, ["h1", "h2", "n_shingles"], "left")
