@@ -26,7 +26,8 @@ VOCABULARY = "word_bpe_49k.json"
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the subsequence-kernel machine, trained on the labels, does not reject."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, machine).filter(F.col("score") < TOXIC_AT).select(docs.columns)
+    scored = toxicity.scored(docs, machine, score_col="__toxicity")
+    return scored.filter(F.col("__toxicity") < TOXIC_AT).select(docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,6 @@ again each. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from collections import deque
@@ -49,15 +48,15 @@ class WordCachedTokenizer:
     those of its parts in order. Words and parts are kept as packed ids; parts
     not met before go to the library in one call, as one text. A text for which
     that is not certain (special tokens, control characters that count as white
-    space for one side only) goes to the library whole. Either cache is emptied
-    at ``limit`` entries.
+    space for one side only) goes to the library whole. The caches are
+    emptied at ``limit`` words and half as many parts.
     """
 
     #: Fixed value: the word pattern of the vocabulary file's pre-tokenizer.
     PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    WHOLE = re.compile("[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
+    WHOLE = ("<|startoftext|>", "<|endoftext|>", "\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
@@ -78,7 +77,7 @@ class WordCachedTokenizer:
         known, parts = self.words, self.parts
         if len(known) > self.limit:
             known.clear()
-        if len(parts) > self.limit:
+        if len(parts) > self.limit // 2:
             parts.clear()
         split = {w: self.PART.findall(w) for w in dict.fromkeys(words) if w not in known}
         new = list(dict.fromkeys(p for s in split.values() for p in s if p not in parts))
@@ -96,7 +95,7 @@ class WordCachedTokenizer:
             known[w] = parts[s[0]] if len(s) == 1 else b"".join([parts[p] for p in s])
 
     def encode(self, text: str) -> np.ndarray:
-        if self.WHOLE.search(text):
+        if any(map(text.__contains__, self.WHOLE)):
             return self._library(text)
         words = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower().split()
         try:

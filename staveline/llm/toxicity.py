@@ -239,7 +239,7 @@ def fit(toxic: list[str], clean: list[str], turns: int = 3, seed: int = 3) -> Ma
     texts = pc.utf8_lower(pa.array(toxic + clean, pa.string()))
     bags: list[Words] = []
     owners: list[np.ndarray] = []
-    for first, _, data, bounds in runs(texts):
+    for first, _, data, bounds in runs(texts, 1 << 17):
         w = Words(data, bounds)
         bags.append(w)
         owners.append(w.owner + first)
