@@ -31,6 +31,7 @@ no labelled rows, every score is 0. Repeated rows are scored each.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -325,12 +326,17 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: int | None = 1) -> Ma
         both.append(ids.withColumn("toxic", F.lit(value)))
     picked = F.broadcast(both[0].union(both[1]))  # at most 4 * MAX_ROWS ids
     usable = rows.filter(F.length("text").between(1, MAX_CHARS)).join(picked, "doc_id")
-    found = sorted(map(tuple, usable.select("doc_id", "toxic", "text").collect()))
-    toxic = [t for _, y, t in found if y == 1][:MAX_ROWS]
-    clean = [t for _, y, t in found if y == 0][:MAX_ROWS]
-    if not any(x.split() for x in toxic) or not any(x.split() for x in clean):
-        return None
-    return fit(toxic, clean)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        toxic = [t for _, y, t in found if y == 1 and t.split()][:MAX_ROWS]
+        clean = [t for _, y, t in found if y == 0 and t.split()][:MAX_ROWS]
+        made = [pickle.dumps(fit(toxic, clean))] if toxic and clean else []
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["machine"])
+
+    # One task holds the bounded sample; the driver gets the fitted table only.
+    made = usable.select("doc_id", "toxic", "text").repartition(1).mapInArrow(run, "machine binary").collect()
+    return pickle.loads(made[0].machine) if made else None
 
 
 def scored(docs: DataFrame, machine: Machine | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
