@@ -47,5 +47,5 @@ def truncated(a) -> Column:
 
 def dotted(base, dots, actual=1, normal=1) -> Column:
     """A base length with augmentation dots, ``actual`` notes in the time of ``normal``."""
-    scale = F.shiftleft(F.lit(1).cast("long"), _c(dots).cast("int"))
+    scale = F.pow(F.lit(2.0), _c(dots)).cast("long")
     return mul(mul(base, ratio(2 * scale - 1, scale)), ratio(normal, actual))

@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x: Column | str | float) -> Column:
@@ -29,7 +30,7 @@ def np_round(x, decimals: int) -> Column:
     return F.rint(_c(x) * scale) / scale
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _py_round(x: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or math.isnan(v) else round(v, int(k)) for v, k in zip(x, n, strict=True)], dtype="float64")
 
@@ -39,7 +40,7 @@ def py_round(x, ndigits: int) -> Column:
     return _py_round(_c(x).cast("double"), F.lit(ndigits))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _floor_div(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: float, y: float) -> float:
         return x // y if y else math.nan
@@ -54,8 +55,9 @@ def float_floor_div(a, b) -> Column:
 
 def int_floor_div(a, b) -> Column:
     """Floor division of integers."""
-    a, b = _c(a), _c(b)
-    return F.floor((a - F.pmod(a, F.abs(b))) / b).cast("long")
+    sign = F.signum(_c(b)).cast("long")
+    a, b = _c(a) * sign, _c(b) * sign
+    return ((a - F.pmod(a, b)) / b).cast("long")
 
 
 def trunc_to_int(x) -> Column:
@@ -116,7 +118,10 @@ def multiple_of(x, step: int) -> Column:
 
 def prior_power_of_two(n) -> Column:
     """The largest power of two that is not above ``n``."""
-    return F.shiftleft(F.lit(1).cast("long"), F.floor(F.log2(_c(n).cast("double"))).cast("int"))
+    n = _c(n).cast("long")
+    p = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double")))).cast("long")
+    # The logarithm may be off by one step at the edges.
+    return F.when(p > n, (p / 2).cast("long")).when(2 * p <= n, 2 * p).otherwise(p)
 
 
 def min_or_either(a, b) -> Column:
