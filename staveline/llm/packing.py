@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Documents whose words are looked up together.
+TOGETHER = 64
 #: Windows of a partition are numbered from (partition << SHIFT).
 SHIFT = 36
 
@@ -45,11 +47,11 @@ class WordCachedTokenizer:
 
     The vocabulary file lower-cases, splits at white space, then into letters,
     digits and marks, and merges within such a part only; the ids of a text are
-    those of its parts in order. Words and parts are kept as packed ids; parts
-    not met before go to the library in one call, as one text. A text for which
+    those of its parts in order. Words are kept as packed ids; parts not met
+    before go to the library in one call, as one text. A text for which
     that is not certain (special tokens, control characters that count as white
-    space for one side only) goes to the library whole. The caches are
-    emptied at ``limit`` words and half as many parts.
+    space for one side only) goes to the library whole. Words are kept
+    in two generations of at most ``limit``; the older one is let go when the younger is full.
     """
 
     #: Fixed value: the word pattern of the vocabulary file's pre-tokenizer.
@@ -68,42 +70,86 @@ class WordCachedTokenizer:
             self.stop[i] = self.last[i] and word[0] in ".!?"
         self.limit = limit
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.short: dict[str, bytes] = {}
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.inner.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        known, parts = self.words, self.parts
-        if len(known) > self.limit:
-            known.clear()
-        if len(parts) > self.limit // 2:
-            parts.clear()
-        split = {w: self.PART.findall(w) for w in dict.fromkeys(words) if w not in known}
-        new = list(dict.fromkeys(p for s in split.values() for p in s if p not in parts))
-        if new:
-            ids = self._library(" ".join(new))
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(new):
-                data, at = ids.tobytes(), 0
-                for p, end in zip(new, (ends * 4).tolist(), strict=True):
-                    parts[p] = data[at:end]
-                    at = end
-            else:
-                parts.update((p, self._library(p).tobytes()) for p in new)
-        for w, s in split.items():
-            known[w] = parts[s[0]] if len(s) == 1 else b"".join([parts[p] for p in s])
+    def _learn(self, words: set[str]) -> None:
+        known, short = self.words, self.short
+        ended = []
+        # Words of letters are parts themselves; a word and the stops after it are parts of their own.
+        plain, mixed = set(), {}
+        for w in words:
+            if w.isalpha():
+                plain.add(w)
+                continue
+            core = w.rstrip(".,")
+            if core and core is not w and core[-1].isalnum():
+                ended.append((w, core, w[len(core) :]))
+                if core.isalpha():
+                    if core not in known:
+                        plain.add(core)
+                    continue
+                if core in known or core in words:
+                    continue
+                w = core
+            mixed[w] = self.PART.findall(w)
+        parts = dict.fromkeys(p for s in mixed.values() for p in s)
+        parts.update(dict.fromkeys(e for _, _, e in ended))
+        new = [p for p in parts if p not in short and p not in plain]
+        self._merge([*plain], known)
+        self._merge([*new], parts)
+        for p in parts:
+            if parts[p] is None:
+                parts[p] = short[p] if p in short else known[p]
+        short.update((p, parts[p]) for p in new if len(p) <= 2)
+        for w, s in mixed.items():
+            known[w] = b"".join([parts[p] for p in s])
+        for w, core, end in ended:
+            known[w] = known[core] + parts[end]
+
+    def _merge(self, new: list[str], into: dict) -> None:
+        """The packed ids of each part, from one call of the library."""
+        if not new:
+            return
+        ids = self._library(" ".join(new))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(new):
+            ends *= 4
+            data = ids.tobytes()
+            cuts = [0, *ends.tolist()]
+            into.update(zip(new, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        else:
+            into.update((p, self._library(p).tobytes()) for p in new)
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; words not met before are learnt for all texts together."""
+        whole = [any(map(t.__contains__, self.WHOLE)) for t in texts]
+        lists = [
+            [] if odd else unicodedata.normalize("NFC", t).replace("\u03a3", "\u03c3").lower().split()
+            for t, odd in zip(texts, whole, strict=True)
+        ]
+        every = set().union(*lists)
+        missing = every.difference(self.words)
+        if missing and len(self.words) + len(missing) > self.limit:
+            self.words, self.older = {}, self.words
+            self.short.clear()
+            missing = every
+        if missing:
+            again = [w for w in missing if w in self.older]
+            self.words.update((w, self.older[w]) for w in again)
+            if len(again) < len(missing):
+                self._learn(missing.difference(again))
+        get = self.words.__getitem__
+        return [
+            self._library(t) if odd else np.frombuffer(b"".join(map(get, words)), np.uint32)
+            for t, odd, words in zip(texts, whole, lists, strict=True)
+        ]
 
     def encode(self, text: str) -> np.ndarray:
-        if any(map(text.__contains__, self.WHOLE)):
-            return self._library(text)
-        words = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower().split()
-        try:
-            data = b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            data = b"".join(map(self.words.__getitem__, words))
-        return np.frombuffer(data, np.uint32)
+        return self.encode_many([text])[0]
 
 
 _LOADED: dict[str, WordCachedTokenizer] = {}
@@ -247,10 +293,13 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc_id, np.concatenate([tok.encode(text.as_py() or ""), closing]))
-                if packer.tokens >= block and (pieces := packer.flush(False)):
-                    yield rows(pieces)
+            for first in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(first, TOGETHER)
+                found = tok.encode_many([t or "" for t in part.column(1).to_pylist()])
+                for doc_id, ids in zip(part.column(0).to_pylist(), found, strict=True):
+                    packer.add(doc_id, np.append(ids, closing))
+                    if packer.tokens >= block and (pieces := packer.flush(False)):
+                        yield rows(pieces)
         if pieces := packer.flush(True):
             yield rows(pieces)
 
