@@ -255,8 +255,8 @@ def fit(toxic: list[str], clean: list[str], turns: int = 3, seed: int = 3) -> Ma
     table = np.log((held[1] + 0.5) / (bad + 1)) - np.log((held[0] + 0.5) / (n - bad + 1))
     table[held.sum(0) < 3] = 0
     offset, negatives, bags_of = 0.0, {}, None
-    everywhere = [(k, j) for k, w in enumerate(bags) for j in range(len(w.sizes))]
-    flat = np.array(everywhere)
+    held_by = np.array([len(w.sizes) for w in bags])
+    flat = np.stack([np.repeat(np.arange(len(bags)), held_by), np.arange(len(owner)) - np.repeat(np.cumsum(held_by) - held_by, held_by)], 1)
     clean_words = np.flatnonzero(owner >= bad)
     for w_at in r.choice(clean_words, min(len(clean_words), 4000), replace=False):
         negatives[bags[flat[w_at, 0]].text(flat[w_at, 1])] = 1
