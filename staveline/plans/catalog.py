@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from staveline.functions import notation, rational, rounding, text
 from staveline.operators import intervals, runs, sequential, tiles
 from staveline.operators.components import connected_components
+from staveline.plans import tab
+from staveline.sinks import musicxml
 
 FLAGSHIP = "lookup_pitch"
 QUERIES: dict = {}
@@ -523,3 +525,82 @@ def voice_colouring(spark, sf_dir):
     day = F.floor(F.unix_timestamp("o_orderdate") / 86400)
     s = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", day.alias("lo"), (day + 1 + F.rint("o_totalprice").cast("long") % 90).alias("hi"))
     return sequential.lowest_free_voice(s, ["o_custkey"], "lo", "hi", "o_orderkey")
+
+
+def _tab_tables(spark, sf_dir):
+    """Events as tablature: a user's page, one system, purchases as barlines, lengths by id."""
+    e = _event_seconds(spark, sf_dir).withColumn("page", F.col("user_id"))
+    ticks = F.when(F.col("event_id") % 11 == 0, F.lit(None)).otherwise(F.element_at(F.array(*map(F.lit, [960, 480, 1920, 240])), (F.col("event_id") % 4 + 1).cast("int")))
+    notes = e.filter("event_type <> 'purchase'").select(
+        "page", F.lit(0).alias("system"), F.col("event_id").alias("seq"), F.col("sec").cast("double").alias("x"), ticks.cast("long").alias("ticks")
+    )
+    lines = e.filter("event_type = 'purchase'").select(
+        "page", F.lit(0).alias("system"), F.col("sec").cast("double").alias("x"),
+        (F.col("event_id") % 5 == 0).alias("repeat_start"), (F.col("event_id") % 7 == 0).alias("repeat_end"),
+    )
+    return notes, lines
+
+
+@query("""
+    WITH e AS (SELECT user_id AS page, event_id, CAST(epoch(date_trunc('second', ts)) AS DOUBLE) AS x, event_type FROM events),
+    n AS (SELECT page, event_id, x, CASE WHEN event_id % 11 = 0 THEN NULL ELSE [960, 480, 1920, 240][event_id % 4 + 1] END AS ticks FROM e WHERE event_type <> 'purchase'),
+    l AS (SELECT page, x, bool_or(event_id % 5 = 0) AS rs, bool_or(event_id % 7 = 0) AS re FROM e WHERE event_type = 'purchase' GROUP BY page, x),
+    b AS (SELECT n.*, (SELECT max(l.x) FROM l WHERE l.page = n.page AND l.x <= n.x) AS lx, (SELECT min(l.x) FROM l WHERE l.page = n.page AND l.x >= n.x) AS rx FROM n),
+    k AS (SELECT b.*, coalesce(a.rs, FALSE) AS rs, coalesce(z.re, FALSE) AS re FROM b LEFT JOIN l a ON a.page = b.page AND a.x = lx
+          LEFT JOIN l z ON z.page = b.page AND z.x = rx WHERE (lx IS NULL OR b.x > lx) AND (rx IS NULL OR b.x < rx)),
+    d AS (SELECT *, dense_rank() OVER (PARTITION BY page ORDER BY coalesce(lx, -1e300)) - 1 AS bar FROM k),
+    g AS (SELECT page, bar, coalesce(sum(ticks), 0) AS known, count(*) FILTER (ticks IS NULL) AS open, bool_or(rs) AS rs, bool_or(re) AS re,
+                 count(*) OVER (PARTITION BY page) AS cnt FROM d GROUP BY page, bar),
+    m AS (SELECT * FROM (VALUES (0, 4, 4), (1, 2, 4), (2, 3, 4), (3, 6, 8), (4, 2, 2), (5, 9, 8), (6, 12, 8)) AS t(k, num, den)),
+    f AS (SELECT g.*, k, num, den, 3840 * num // den AS whole, (bar = 0 OR rs) AS opens FROM g, m),
+    p AS (SELECT *, CASE WHEN open > 0 AND (whole - known) / open IN (3840, 2880, 1920) THEN CAST((whole - known) / open AS BIGINT) END AS long,
+                 max(CASE WHEN opens THEN bar END) OVER (PARTITION BY page, k ORDER BY bar) AS part FROM f),
+    u AS (SELECT p.*, CASE WHEN o.open = 0 AND o.cnt > 1 AND o.known > 0 AND o.known * 2 <= o.whole THEN o.known END AS upbeat
+          FROM p JOIN p o ON o.page = p.page AND o.k = p.k AND o.bar = p.part),
+    c AS (SELECT *, opens AND upbeat IS NOT NULL AS pickup,
+                 CASE WHEN open > 0 THEN long IS NOT NULL ELSE known = whole OR (opens AND upbeat IS NOT NULL)
+                      OR (NOT opens AND (re OR bar = cnt - 1) AND upbeat IS NOT NULL AND known + coalesce(upbeat, 0) = whole) END AS fits FROM u),
+    v AS (SELECT page, k, row_number() OVER (PARTITION BY page ORDER BY count(*) FILTER (fits) DESC, k) AS rn FROM c GROUP BY page, k)
+    SELECT page, bar, num, den, 'missing' AS status, (known + coalesce(open * long, 0)) / 960 AS quarters, open, pickup, fits
+    FROM c JOIN v USING (page, k) WHERE rn = 1""")
+def resolve_tab(spark, sf_dir):
+    """Bars of each page, the metre that most of them fit, and how each fits it."""
+    notes, lines = _tab_tables(spark, sf_dir)
+    lines = lines.groupBy("page", "system", "x").agg(F.bool_or("repeat_start").alias("repeat_start"), F.bool_or("repeat_end").alias("repeat_end"))
+    return tab.resolve(notes, lines)
+
+
+@query("""
+    WITH n AS (SELECT l_orderkey AS page, l_linenumber, p_size, CAST(l_quantity AS BIGINT) % 3 AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq
+               FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 2000),
+    x AS (SELECT page, seq, 1 AS num, [4, 8, 6][d + 1] AS den, p_size FROM n),
+    k AS (SELECT page, list_reduce(list_prepend(4, list(den)), lambda a, b: lcm(a, b)) // 4 AS divisions FROM x GROUP BY page)
+    SELECT page, divisions, sum(num * divisions * 4 // den) AS length, count(*) AS notes FROM x JOIN k USING (page) GROUP BY page, divisions""")
+def score_export(spark, sf_dir):
+    """Documents of notes, read back: divisions, sounding length and number of notes of each page."""
+    li, p = _t(spark, sf_dir, "lineitem").filter("l_orderkey < 2000"), _t(spark, sf_dir, "part").select("p_partkey", "p_size")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    names = F.array(*[F.lit(x) for x in "CDEFGAB"])
+    notes = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("page"), F.lit(1).alias("part"), F.lit(1).alias("measure"), F.row_number().over(w).alias("seq"),
+        F.element_at(names, (F.col("p_size") % 7 + 1).cast("int")).alias("step"), F.lit(0).alias("alter"), F.lit(4).alias("octave"), F.lit(1).cast("long").alias("num"),
+        F.element_at(F.array(*map(F.lit, [4, 8, 6])), (F.col("l_quantity").cast("long") % 3 + 1).cast("int")).cast("long").alias("den"),
+        F.lit(None).cast("string").alias("kind"), F.lit(0).alias("dots"), F.lit(False).alias("chord"), F.lit(None).cast("int").alias("staff"),
+    )
+    docs = musicxml.documents(notes)
+    lengths = F.transform(F.regexp_extract_all("xml", F.lit("<duration>([0-9]+)</duration>"), F.lit(1)), lambda s: s.cast("long"))
+    total = F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x)
+    return docs.select("page", "divisions", total.alias("length"), F.size(lengths).cast("long").alias("notes"))
+
+
+@query("""
+    SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 <> 1 THEN 62 END AS top, CASE WHEN o_orderkey % 3 <> 1 THEN 59 + o_orderkey % 5 END AS second
+    FROM orders""")
+def pitch_tab(spark, sf_dir):
+    """Sounding pitches of fretted notes under each page's tuning and capo; nulls where no tuning was read."""
+    o = _t(spark, sf_dir, "orders")
+    note = lambda s, f: F.struct(F.lit(s).alias("string"), f.cast("int").alias("fret"))
+    events = o.select(F.col("o_orderkey").alias("page"), "o_custkey", F.array(note(1, F.lit(0)), note(2, F.col("o_orderkey") % 5)).alias("notes"))
+    tunings = o.filter("o_orderkey % 3 <> 1").select(F.col("o_orderkey").alias("page"), F.array(F.lit("C4"), F.lit("A3")).alias("strings"), F.lit(2).alias("capo"))
+    out = tab.pitch_tab(events, tunings)
+    return out.select("o_custkey", F.col("page").alias("o_orderkey"), F.col("midi")[0].alias("top"), F.col("midi")[1].alias("second"))
