@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staveline.llm import chat, toxicity
+from staveline.llm import chat, oracles, toxicity
 from staveline.llm.decontamination import overlaps
 from staveline.llm.html_main import extract
 from staveline.llm.minhash import near_duplicates
@@ -83,7 +83,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("number")).agg((F.min("quality") == 0).alias("bad"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url", path_of(F.col("url")).alias("path"))
     pages = pages.withColumn("number", number).join(bad, "number", "left").select("page_id", "url", "bad")
-    return judge_urls(pages, URL_RULES)
+    return judge_urls(pages, URL_RULES).withColumn("purity", F.round("purity", 9))
 
 
 def queries() -> dict:
@@ -103,4 +103,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op6_minhash": oracles.MINHASH, "op7_warc": oracles.WARC, "op9_embeddings": oracles.EMBEDDINGS, "op10_urls": oracles.url_templates(URL_RULES)}
+    return sql if corpus_pipeline.ORACLE_SQL is None else sql | {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -7,6 +7,7 @@ longer single text is a run of its own, whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,3 +122,11 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         hashes = word_hashes(data, starts, ends)
         for i in range(last - first):
             yield shingle_set(hashes[per_text[i] : per_text[i + 1]], n)
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, where the C library can; workers outlive their tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

@@ -35,6 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staveline.llm.kernels import give_back
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Documents whose words are looked up together.
 TOGETHER = 64
@@ -58,7 +60,7 @@ class WordCachedTokenizer:
     PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     WHOLE = ("<|startoftext|>", "<|endoftext|>", "\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
@@ -269,10 +271,12 @@ def pack(
     grid: int = 128,
     block: int = 1 << 17,
     with_ids: bool = False,
+    keep_words: bool = True,
 ) -> DataFrame:
     """One row for each piece of a document in a window (``SCHEMA``, and ``ids`` if ``with_ids``).
 
-    ``tokenizer_path`` must exist on every worker. Window numbers are unique,
+    ``tokenizer_path`` must exist on every worker. Workers keep the words they met for their next task, unless
+    ``keep_words`` is false: then they give the memory back after each. Window numbers are unique,
     not consecutive. Columns of ``docs`` other than the two named ones are not
     read, whatever their names. A null id is kept null.
     """
@@ -302,6 +306,11 @@ def pack(
                         yield rows(pieces)
         if pieces := packer.flush(True):
             yield rows(pieces)
+        del pieces
+        if not keep_words:
+            _LOADED.clear()
+            del tok, packer
+        give_back()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, schema)

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staveline.llm.kernels import NON_WORD, WHITE, runs, words
+from staveline.llm.kernels import NON_WORD, WHITE, give_back, runs, words
 
 BITS, SPAN, DECAY = 19, 6, 0.7
 PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -332,6 +332,8 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: int | None = 1) -> Ma
         toxic = [t for _, y, t in found if y == 1 and t.split()][:MAX_ROWS]
         clean = [t for _, y, t in found if y == 0 and t.split()][:MAX_ROWS]
         made = [pickle.dumps(fit(toxic, clean))] if toxic and clean else []
+        del found, toxic, clean
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["machine"])
 
     # One task holds the bounded sample; the driver gets the fitted table only.
