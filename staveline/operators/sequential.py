@@ -22,8 +22,9 @@ def align(
     """
 
     def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values(left_order) if len(a) else pd.DataFrame({left_order: [], left_value: []})
-        b = b.sort_values(right_order) if len(b) else pd.DataFrame({right_order: [], right_value: []})
+        # A group that one side lacks comes without columns.
+        a = a.sort_values(left_order) if left_order in a.columns else pd.DataFrame({left_order: [], left_value: []})
+        b = b.sort_values(right_order) if right_order in b.columns else pd.DataFrame({right_order: [], right_value: []})
         x, y = a[left_value].tolist(), b[right_value].tolist()
         n, m = len(x), len(y)
         cost = np.zeros((n + 1, m + 1))

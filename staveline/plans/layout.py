@@ -118,11 +118,11 @@ def align_notes(events: DataFrame, columns: DataFrame, schema: str = "page long,
     distance in column spacings, three at most; a skip costs 1. Of equal costs a pair wins, then skipping the note.
     """
     def one(key: tuple, ev: pd.DataFrame, co: pd.DataFrame) -> pd.DataFrame:
-        if not len(ev):
+        if "event" not in ev.columns or not len(ev):
             return pd.DataFrame({"page": [], "staff": [], "event": [], "column": []})
         ev = ev.sort_values("event")
         notes = list(zip(ev["x"], ev["position"], strict=True))
-        cols = list(zip(*(co.sort_values("column")[c] for c in ("x", "positions", "column")), strict=True)) if len(co) else []
+        cols = list(zip(*(co.sort_values("column")[c] for c in ("x", "positions", "column")), strict=True)) if "column" in co.columns else []
         n, m = len(notes), len(cols)
         xs = np.array([c[0] for c in cols], float)
         before, after = np.diff(xs, prepend=-np.inf), np.diff(xs, append=np.inf)
