@@ -26,13 +26,13 @@ returned each. An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from staveline.sources.scratch import materialize
 
@@ -177,47 +177,75 @@ def viterbi(codes: DataFrame, chain: Chain) -> DataFrame:
     shared = codes.sparkSession.sparkContext.broadcast(chain)
     places = codes.withColumn("chunk", F.floor(F.col("turn") / CHUNK)).dropDuplicates(["conv_id", "turn", "h"])
 
-    def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-        pdf = pdf.sort_values(["turn", "h"], kind="stable")
-        return pdf, np.concatenate([np.asarray(c, np.int64) for c in pdf.codes])
-
-    def to_matrix(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, all_codes = ordered(pdf)
-        m = shared.value.matrix(all_codes)
-        first = shared.value.start + shared.value.emissions(all_codes[:1])[0]
-        for row in shared.value.emissions(all_codes[1:]) if len(all_codes) > 1 else ():
+    def to_matrix(key: tuple, rows: list[tuple]) -> list[tuple]:
+        codes = np.array([c for r in rows for c in r[4]])
+        e = shared.value.emissions(codes)
+        first = shared.value.start + e[0]
+        for row in e[1:]:
             first = (first[:, None] + shared.value.step).max(0) + row
-        return pd.DataFrame({"conv_id": pdf.conv_id.iloc[:1], "chunk": pdf.chunk.iloc[:1], "m": [m.ravel()], "opened": [first]})
+        return [(*key, shared.value.matrix(codes).ravel().tolist(), first.tolist())]
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
+    def scan(key: tuple, rows: list[tuple]) -> list[tuple]:
         n = len(STATES)
-        score, back = np.asarray(pdf.opened.iloc[0]), []
-        for m in pdf.m.iloc[1:]:
-            ways = score[:, None] + np.asarray(m).reshape(n, n)
+        score, back = np.array(rows[0][3]), []
+        for r in rows[1:]:
+            ways = score[:, None] + np.array(r[2]).reshape(n, n)
             back.append(ways.argmax(0))
             score = ways.max(0)
         last = [int(score.argmax())]
         for b in reversed(back):
             last.append(int(b[last[-1]]))
-        last = last[::-1]
-        return pd.DataFrame({"conv_id": pdf.conv_id, "chunk": pdf.chunk, "before": [-1, *last[:-1]], "last": last, "closes": [*[False] * (len(last) - 1), True]})
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, all_codes = ordered(pdf)
-        before = int(pdf.before.iloc[0])
-        states = shared.value.path(all_codes, None if before < 0 else before, int(pdf["last"].iloc[0]))
-        cuts = np.cumsum([len(c) for c in pdf.codes])[:-1]
-        out = pd.DataFrame({"conv_id": pdf.conv_id, "turn": pdf.turn, "h": pdf.h, "states": np.split(states, cuts)})
-        out["opens"], out["closes"] = False, False
-        out.iloc[0, 4] = before < 0
-        out.iloc[-1, 5] = bool(pdf.closes.iloc[0])
+        last.reverse()
+        return [(r[0], r[1], before, end, k == len(rows) - 1) for k, (r, before, end) in enumerate(zip(rows, [-1, *last[:-1]], last, strict=True))]
+
+    def fill(key: tuple, rows: list[tuple]) -> list[tuple]:
+        before, last, closes = rows[0][5:8]
+        states = shared.value.path(np.array([c for r in rows for c in r[4]]), None if before < 0 else before, last).tolist()
+        out, at = [], 0
+        for k, r in enumerate(rows):
+            own = states[at : at + len(r[4])]
+            at += len(own)
+            out.append((r[0], r[2], r[3], own, before < 0 and k == 0, closes and k == len(rows) - 1))
         return out
 
-    matrices = places.groupBy("conv_id", "chunk").applyInPandas(to_matrix, "conv_id long, chunk long, m array<double>, opened array<double>")
-    ends = materialize(matrices.groupBy("conv_id").applyInPandas(scan, "conv_id long, chunk long, before int, last int, closes boolean"), "chunks")
+    places = places.select("conv_id", "chunk", "turn", "h", "codes")
+    matrices = by_group(places, 2, ["turn", "h"], to_matrix, "conv_id long, chunk long, m array<double>, opened array<double>")
+    ends = by_group(matrices, 1, ["chunk"], scan, "conv_id long, chunk long, before int, last int, closes boolean")
+    ends = materialize(ends, "chunks")
     told = places.join(ends, ["conv_id", "chunk"])
-    return told.groupBy("conv_id", "chunk").applyInPandas(fill, "conv_id long, turn long, h long, states array<int>, opens boolean, closes boolean")
+    return by_group(told, 2, ["turn", "h"], fill, "conv_id long, turn long, h long, states array<int>, opens boolean, closes boolean")
+
+
+def by_group(df: DataFrame, n_keys: int, order: list[str], fold: Callable[[tuple, list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``fold`` of each group of rows with equal first ``n_keys`` columns, in order; groups must be of bounded size.
+
+    One sort by key; successive rows of a key form a group, so that small groups cost little.
+    """
+    keys = df.columns[:n_keys]
+    kind = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*found, strict=True)) or [[]] * len(kind)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind, strict=True)], kind.names)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n_keys] != key:
+                    if rows:
+                        out += fold(key, rows)
+                    key, rows = row[:n_keys], []
+                    if len(out) >= 2000:
+                        yield batch_of(out)
+                        out = []
+                rows.append(row)
+        if rows:
+            out += fold(key, rows)
+        yield batch_of(out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def parse(transcripts: DataFrame, roles: DataFrame | None = None, chain: Chain | None = None, *, id_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
