@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staveline.llm.kernels import _ODD, NON_WORD, mix, runs, word_hashes, words
+from staveline.llm.tables import small_batches
 
 #: Seeds of span 8 and weight 5 or 6; the first and last tokens count in each.
 MASKS = ("11101101", "11011011", "10110111", "11001111", "11110001")
@@ -192,7 +193,7 @@ def clean(
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, min_item: int, block_hashes: int) -> list:
     """Broadcast indexes of the benchmark, of a bounded size each; one at least."""
-    context = benchmark.sparkSession.sparkContext
+    context = small_batches(benchmark).sparkSession.sparkContext
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     out, block, size = [], [], 0
     for row in items.toLocalIterator():

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staveline.llm.tables import small_batches
+
 SAMPLE = 200
 SURE = 12.0
 NEXT, SIBLING = 0.8, 1.2
@@ -359,4 +361,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
             cols = [*batch.columns[:at], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:at], "text", "n_chars"])
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staveline.llm.kernels import shingle_sets
+from staveline.llm.tables import small_batches
 from staveline.operators.components import connected_components
 from staveline.sources.scratch import discard, materialize
 
@@ -183,7 +184,7 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.filter("doc_id is not null")
+    docs = small_batches(docs.filter("doc_id is not null"))
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").take(1):
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
     floor = match_floor(coordinates, per_cent / 100)

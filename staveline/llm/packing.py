@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staveline.llm.kernels import give_back
+from staveline.llm.tables import small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Documents whose words are looked up together.
@@ -313,6 +314,6 @@ def pack(
         give_back()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, schema)
+    return small_batches(picked).mapInArrow(run, schema)
 
 

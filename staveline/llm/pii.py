@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staveline.llm.tables import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
 MAX_TOKENS = 24
@@ -419,7 +421,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -445,5 +447,5 @@ def redacted(docs: DataFrame, *, text_col: str = "text", length_col: str | None
             texts = [None if v is None else redact(v, find_spans(v, known.value)[1]) for v in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = small_batches(docs).mapInArrow(run, docs.schema)
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out

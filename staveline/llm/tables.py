@@ -4,6 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of whole texts that go to a Python worker at once.
+BATCH_ROWS = 1024
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends at most ``BATCH_ROWS`` rows at once to Python from now on.
+
+    The default of 10,000 rows is meant for short rows; of whole texts it holds tens of megabytes in the executor and
+    again in each worker. A smaller value of the session's own is kept.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ROWS)) <= BATCH_ROWS:
+        conf.set(ROWS, str(BATCH_ROWS))
+    return df
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staveline.llm.kernels import NON_WORD, WHITE, give_back, runs, words
+from staveline.llm.tables import small_batches
 
 BITS, SPAN, DECAY = 19, 6, 0.7
 PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -325,7 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: int | None = 1) -> Ma
         ids = known.filter(F.col("toxic") == value).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * MAX_ROWS)
         both.append(ids.withColumn("toxic", F.lit(value)))
     picked = F.broadcast(both[0].union(both[1]))  # at most 4 * MAX_ROWS ids
-    usable = rows.filter(F.length("text").between(1, MAX_CHARS)).join(picked, "doc_id")
+    usable = small_batches(rows).filter(F.length("text").between(1, MAX_CHARS)).join(picked, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -343,7 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: int | None = 1) -> Ma
 
 def scored(docs: DataFrame, machine: Machine | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` and the score of each row's text; an existing column of that name is replaced."""
-    rows = docs.drop(score_col)
+    rows = small_batches(docs.drop(score_col))
     if machine is None:
         return rows.withColumn(score_col, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(machine)

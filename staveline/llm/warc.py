@@ -44,6 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staveline.llm.tables import small_batches
 from staveline.sources.scratch import materialize, scratch_path
 
 BLOCK_LINES = 128
@@ -154,7 +155,7 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
         if out is not None:
             out.close()
 
-    chosen = roles.select("page_id", "url", "payload", refers.alias("refers_to"))
+    chosen = small_batches(roles).select("page_id", "url", "payload", refers.alias("refers_to"))
     return materialize(chosen.mapInArrow(run, ENTRIES), "captures")
 
 
