@@ -47,7 +47,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 2048 tokens, with their ids."""
-    return pack(docs, vocabulary(VOCABULARY), with_ids=True, keep_words=False)
+    return pack(docs, vocabulary(VOCABULARY), with_ids=True, words=150_000, keep_words=False)
 
 
 STAGES = [

@@ -61,7 +61,7 @@ class WordCachedTokenizer:
     PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     WHOLE = ("<|startoftext|>", "<|endoftext|>", "\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
@@ -155,13 +155,15 @@ class WordCachedTokenizer:
         return self.encode_many([text])[0]
 
 
-_LOADED: dict[str, WordCachedTokenizer] = {}
+_LOADED: dict[tuple[str, int], WordCachedTokenizer] = {}
 
 
-def loaded(path: str) -> WordCachedTokenizer:
-    if path not in _LOADED:
-        _LOADED[path] = WordCachedTokenizer(path)
-    return _LOADED[path]
+def loaded(path: str, limit: int = 500_000) -> WordCachedTokenizer:
+    """The tokenizer of this process."""
+    key = (path, limit)
+    if key not in _LOADED:
+        _LOADED[key] = WordCachedTokenizer(path, limit)
+    return _LOADED[key]
 
 
 def choose_cuts(positions: np.ndarray, penalties: np.ndarray, window: int) -> list[int]:
@@ -272,12 +274,13 @@ def pack(
     grid: int = 128,
     block: int = 1 << 17,
     with_ids: bool = False,
+    words: int = 500_000,
     keep_words: bool = True,
 ) -> DataFrame:
     """One row for each piece of a document in a window (``SCHEMA``, and ``ids`` if ``with_ids``).
 
-    ``tokenizer_path`` must exist on every worker. Workers keep the words they met for their next task, unless
-    ``keep_words`` is false: then they give the memory back after each. Window numbers are unique,
+    ``tokenizer_path`` must exist on every worker. A worker keeps the ids of up to twice ``words`` words, for its
+    next task too, unless ``keep_words`` is false: then it gives the memory back after each. Window numbers are unique,
     not consecutive. Columns of ``docs`` other than the two named ones are not
     read, whatever their names. A null id is kept null.
     """
@@ -285,7 +288,7 @@ def pack(
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = loaded(tokenizer_path)
+        tok = loaded(tokenizer_path, words)
         packer = _Packer(window, sentence_penalty, inner_penalty, grid, tok.stop, TaskContext.get().partitionId() << SHIFT)
         closing = np.array([end_id], np.uint32)
 
