@@ -213,3 +213,129 @@ def peaks(values: np.ndarray, height: float, prominence: float, distance: int) -
             near[k] = False
             keep[near & (v[at] <= v[at[k]])] = False
     return at[keep]
+
+
+def clahe(pixels: np.ndarray, clip: float = 1.0, grid: int = 8) -> np.ndarray:
+    """Contrast equalisation in ``grid`` x ``grid`` tiles with a clipped histogram, bilinear between tiles."""
+    h, w = pixels.shape
+    th, tw = -(-h // grid), -(-w // grid)
+    padded = np.pad(pixels, ((0, th * grid - h), (0, tw * grid - w)), mode="reflect" if min(h, w) > 1 else "edge")
+    limit = max(int(clip * th * tw / 256), 1)
+    maps = np.zeros((grid, grid, 256))
+    for i in range(grid):
+        for j in range(grid):
+            counts = np.bincount(padded[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256)
+            over = int(np.maximum(counts - limit, 0).sum())
+            counts = np.minimum(counts, limit) + over // 256
+            counts[: over % 256] += 1
+            maps[i, j] = np.clip(np.rint(np.cumsum(counts) * 255.0 / (th * tw)), 0, 255)
+
+    def axis(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = (np.arange(n) + 0.5) / size - 0.5
+        low = np.floor(at).astype(int)
+        return np.clip(low, 0, grid - 1), np.clip(low + 1, 0, grid - 1), at - low
+
+    y0, y1, fy = axis(h, th)
+    x0, x1, fx = axis(w, tw)
+    v, fy, fx = pixels.astype(int), fy[:, None], fx[None, :]
+    pick = lambda y, x: maps[y[:, None], x[None, :], v]
+    out = (pick(y0, x0) * (1 - fx) + pick(y0, x1) * fx) * (1 - fy) + (pick(y1, x0) * (1 - fx) + pick(y1, x1) * fx) * fy
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def paper_rect(pixels: np.ndarray, below_mode: int = 30, least: float = 0.25) -> tuple[int, int, int, int] | None:
+    """``x, y, w, h`` of the largest bright area, if it is a part of the page only and at least ``least`` of it."""
+    g = gray(pixels) if pixels.ndim == 3 else pixels
+    level = int(np.argmax(np.bincount(g.ravel(), minlength=256))) - below_mode
+    bright = erode(dilate((g > level).astype(np.uint8), 5, 5), 5, 5)
+    _, found = components(bright)
+    if not len(found):
+        return None
+    x, y, w, h, _ = found[np.argmax(found[:, 4])].tolist()
+    share = w * h / g.size
+    return (x, y, w, h) if least <= share < 1 else None
+
+
+def autocrop(pixels: np.ndarray) -> np.ndarray:
+    """The sheet of paper cut out of a photo, or the page as it is."""
+    found = paper_rect(pixels)
+    if found is None:
+        return pixels
+    x, y, w, h = found
+    return pixels[y : y + h, x : x + w]
+
+
+def bicubic(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Separable bicubic resampling (a = -0.5) whose support grows when shrinking; weights sum to one."""
+    def weights(old: int, new: int) -> np.ndarray:
+        scale = old / new
+        wide = max(scale, 1.0)
+        out = np.zeros((new, old))
+        for k in range(new):
+            center = (k + 0.5) * scale
+            lo, hi = max(int(center - 2 * wide + 0.5), 0), min(int(center + 2 * wide + 0.5), old)
+            t = np.abs((np.arange(lo, hi) - center + 0.5) / wide)
+            near = (1.5 * t - 2.5) * t * t + 1
+            far = -0.5 * (((t - 5) * t + 8) * t - 4)
+            v = np.where(t < 1, near, np.where(t < 2, far, 0.0))
+            out[k, lo:hi] = v / v.sum()
+        return out
+
+    p = pixels.astype(float)
+    p = np.clip(np.rint(np.tensordot(weights(p.shape[1], width), p, (1, 1)).swapaxes(0, 1)), 0, 255)
+    return np.clip(np.rint(np.tensordot(weights(p.shape[0], height), p, (1, 0))), 0, 255).astype(np.uint8)
+
+
+def tile_starts(length: int, window: int, step: int) -> list[int]:
+    """Tile starts along one axis; the last is pulled back to end with it."""
+    last = max(length - window, 0)
+    out = list(range(0, last + 1, step))
+    return out if out[-1] == last else [*out, last]
+
+
+def cut_tiles(pixels: np.ndarray, window: int, step: int, fill: int = 255) -> list[tuple[int, int, np.ndarray]]:
+    """``x, y, tile`` in row-major order; what lies off the page is ``fill``."""
+    h, w = pixels.shape
+    out = []
+    for y in tile_starts(h, window, step):
+        for x in tile_starts(w, window, step):
+            tile = np.full((window, window), fill, np.uint8)
+            part = pixels[y : y + window, x : x + window]
+            tile[: part.shape[0], : part.shape[1]] = part
+            out.append((x, y, tile))
+    return out
+
+
+def merge_tiles(tiles: list[tuple[int, int, np.ndarray]], width: int, height: int) -> np.ndarray:
+    """Class maps laid back on the page: where tiles overlap, the truncated mean of their class numbers."""
+    total, count = np.zeros((height, width), np.int64), np.zeros((height, width), np.int64)
+    for x, y, tile in tiles:
+        part = tile[: height - y, : width - x]
+        total[y : y + part.shape[0], x : x + part.shape[1]] += part
+        count[y : y + part.shape[0], x : x + part.shape[1]] += 1
+    return (total // np.maximum(count, 1)).astype(np.uint8)
+
+
+def noise_grid(mask: np.ndarray, size: int, limit: int) -> tuple[str, np.ndarray]:
+    """``status`` and the mask without noise: tiles whose ink count (modulo 256) and that of a 4-neighbour exceed ``limit``.
+
+    No such tile leaves the mask ``clean``; more than half of them leave it ``skipped``; else they are ``masked`` out.
+    """
+    h, w = mask.shape
+    rows, cols = -(-h // size), -(-w // size)
+    padded = np.zeros((rows * size, cols * size), np.int64)
+    padded[:h, :w] = mask != 0
+    counts = padded.reshape(rows, size, cols, size).sum((1, 3)) % 256
+    high = np.pad(counts > limit, 1)
+    noisy = high[1:-1, 1:-1] & (high[:-2, 1:-1] | high[2:, 1:-1] | high[1:-1, :-2] | high[1:-1, 2:])
+    if not noisy.any():
+        return "clean", mask
+    if noisy.mean() > 0.5:
+        return "skipped", mask
+    cover = np.kron(noisy, np.ones((size, size), bool))[:h, :w]
+    return "masked", np.where(cover, 0, mask).astype(mask.dtype)
+
+
+def argmax_classes(planes: np.ndarray) -> np.ndarray:
+    """The class of the highest score at each pixel (class first), the lowest class of equals."""
+    return planes.argmax(0).astype(np.uint8)
