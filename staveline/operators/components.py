@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from staveline.sources.scratch import discard, materialize
 
 
+#: Edges in a file; rewiring never adds edges, so that the count before bounds the count after.
+ROWS_A_FILE = 200_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -46,7 +50,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     )
     seen = _fingerprint(star)
     while seen[0]:
-        step = materialize(_small_star(_large_star(star)), "edges")
+        step = materialize(_small_star(_large_star(star)), "edges", files=1 + seen[0] // ROWS_A_FILE)
         now = _fingerprint(step)
         discard(star)
         star = step

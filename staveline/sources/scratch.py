@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -31,11 +32,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads the written copy."""
+def materialize(df: DataFrame, name: str = "table", files: int | None = None) -> DataFrame:
+    """Write ``df`` once and return a DataFrame that reads the written copy.
+
+    ``files`` bounds the number of files, for tables known to be small.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -49,3 +53,18 @@ def discard(df: DataFrame) -> None:
     jvm = df.sparkSession._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df``, kept on the executors' disks when first computed.
+
+    For results that are read more than once at a bounded depth of lineage: blocks of a lost executor are computed
+    again. Loops cut their lineage with ``materialize`` instead. ``release`` frees the disk.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def release(*frames: DataFrame) -> None:
+    """Free what ``held`` keeps; whatever still needs it computes it again."""
+    for df in frames:
+        df.unpersist()
