@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from staveline.llm.kernels import shingle_sets
 from staveline.llm.tables import small_batches
 from staveline.operators.components import connected_components
-from staveline.sources.scratch import discard, materialize
+from staveline.sources.scratch import discard, held, materialize, release
 
 MISS = 1e-7
 _RNG = np.random.default_rng(77)
@@ -138,7 +138,7 @@ def _rare_pairs(texts: DataFrame, components: DataFrame, shingle: int, per_cent:
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(of), pa.array(held)], ["doc_id", "size", "held"])
 
     rows = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, held long")
-    rows = materialize(rows, "shingles")
+    rows = held(rows)
     common = rows.groupBy("held").agg(F.count("*").alias("n")).filter("n > 1")
     posts = rows.join(common, "held").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "held"))).alias("p"))
     # Shingles that one text holds come first and meet nothing.
@@ -148,7 +148,7 @@ def _rare_pairs(texts: DataFrame, components: DataFrame, shingle: int, per_cent:
     posts = posts.select("doc_id", "size", F.posexplode("p").alias("k", "post"), "alone")
     posts = posts.select("doc_id", "size", F.col("post.held").alias("held"), (F.col("k") + 1 + F.col("alone")).alias("rank"))
     short = F.col("size") - F.ceil(F.col("size") * 2 * per_cent / (100 + per_cent)) + 1
-    posts = materialize(posts.join(components, "doc_id").withColumn("short", F.col("rank") <= short), "rare")
+    posts = held(posts.join(components, "doc_id").withColumn("short", F.col("rank") <= short))
     groups = posts.groupBy("held", "component").agg(F.count("*").alias("n"))
     most = groups.groupBy("held").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("groups"))
     most = most.filter("groups > 1").select("held", F.col("most.component").alias("big"))
@@ -189,12 +189,10 @@ def near_duplicates(
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
     floor = match_floor(coordinates, per_cent / 100)
     prefix = coordinates - floor + 1
-    feats = materialize(features(docs, shingle, coordinates), "features")
-    classes = materialize(
-        feats.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes"
-    )
+    feats = held(features(docs, shingle, coordinates))
+    classes = held(feats.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     own = classes.select(F.col("rep").alias("doc_id"))
-    reps = materialize(feats.join(own, "doc_id", "left_semi").select("doc_id", "sig"), "signatures")
+    reps = held(feats.join(own, "doc_id", "left_semi").select("doc_id", "sig"))
     keys = reps.select("doc_id", F.explode("sig").alias("key"))
     common = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = (
@@ -208,8 +206,8 @@ def near_duplicates(
             F.slice("posts", 1, F.greatest(F.lit(0), prefix - (coordinates - F.size("posts")))).alias("posts"),
         )
     )
-    lists = materialize(shared.select("doc_id", "central", F.explode("posts.key").alias("key")), "postings")
-    texts = materialize(_semi(docs, lists.select("doc_id").distinct()), "texts")
+    lists = held(shared.select("doc_id", "central", F.explode("posts.key").alias("key")))
+    texts = held(_semi(docs, lists.select("doc_id").distinct()))
     edges, labels = None, None
     for last in (False, True):
         if labels is None:
@@ -218,7 +216,7 @@ def near_duplicates(
             live = lists.join(labels, lists.doc_id == labels.node, "left").drop("node")
             live = live.withColumn("component", F.coalesce("component", "doc_id"))
         state = live.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_lists = materialize(live.join(state.filter("low < high").select("key"), "key", "left_semi"), "open")
+        open_lists = held(live.join(state.filter("low < high").select("key"), "key", "left_semi"))
         if open_lists.isEmpty():
             break
         if last:
@@ -233,9 +231,8 @@ def near_duplicates(
         stale, labels = labels, materialize(connected_components(edges), "components")
         if stale is not None:
             discard(stale)
-        discard(open_lists)
-    for done in (lists, texts, reps):
-        discard(done)
+        release(open_lists)
+    release(lists, texts, reps)
     whole = feats.join(classes, ["h1", "h2", "n_shingles"], "left")
     if labels is not None:
         whole = whole.join(labels, whole.rep == labels.node, "left")
