@@ -37,7 +37,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from staveline.sources.scratch import materialize
 
 ROLES = ("system", "user", "assistant")
-STATES = [(r, first) for r in ROLES for first in (True, False)]
+FIRST, LATER, EMPTY = range(3)
+STATES = [(r, place) for r in ROLES for place in (FIRST, LATER, EMPTY)]
 CHUNK = 256
 #: Names in speaker markers, by the role that they stand for.
 MARKERS = {
@@ -88,9 +89,9 @@ class Chain:
         share = lambda t: np.log((t + 1.0) / (t + 1.0).sum(-1, keepdims=True))
         self.start, self.emit = share(start), [share(t) for t in emit]
         # A turn's later lines belong to its speaker; only first lines start a turn.
-        allowed = np.array([[b or (a_role == b_role) for b_role, b in STATES] for a_role, _ in STATES])
+        allowed = np.array([[b == FIRST or (a_role == b_role) for b_role, b in STATES] for a_role, _ in STATES])
         self.step = np.where(allowed, np.log((step + 1.0) / ((step + 1.0) * allowed).sum(-1, keepdims=True)), -1e9)
-        self.start = np.where([first for _, first in STATES], self.start, -1e9)
+        self.start = np.where([place == FIRST for _, place in STATES], self.start, -1e9)
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
         return sum(t[:, p] for t, p in zip(self.emit, _parts(codes), strict=True)).T
@@ -149,26 +150,28 @@ def train(codes: DataFrame, roles: DataFrame) -> Chain:
     known = codes.join(roles.filter(F.col("role").isin(*ROLES)), ["conv_id", "turn", "h"])
     index = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role")).cast("int") - 1
     known = known.select("conv_id", "turn", index.alias("r"), "codes")
-    lines = known.select("r", F.posexplode("codes").alias("k", "code")).groupBy("r", (F.col("k") == 0).alias("first"), "code")
+    # A line without characters has length category 0; the categories after it are the code's last digits.
+    tail, lengths = int(np.prod(SIZES[2:])), SIZES[1]
+    place = lambda c, k: F.when(k == 0, F.lit(FIRST)).when(F.floor(c / tail) % lengths == 0, F.lit(EMPTY)).otherwise(F.lit(LATER))
+    known = known.withColumn("places", F.transform("codes", place))
+    lines = known.select("r", F.explode(F.arrays_zip("places", "codes")).alias("x")).groupBy("r", "x.places", "x.codes")
     emit = [np.zeros((n, size)) for size in SIZES]
+    at = lambda r, p: STATES.index((ROLES[r], p))
     for row in lines.agg(F.count("*").alias("n")).collect():
-        s = STATES.index((ROLES[row.r], row.first))
-        for t, p in zip(emit, _parts(np.array([row.code])), strict=True):
-            t[s, p[0]] += row.n
+        for t, p in zip(emit, _parts(np.array([row.codes])), strict=True):
+            t[at(row.r, row.places), p[0]] += row.n
     start, step = np.zeros(n), np.zeros((n, n))
+    ends = F.arrays_zip(F.slice("places", 1, F.size("places") - 1).alias("a"), F.slice("places", 2, F.size("places")).alias("b"))
+    for row in known.select("r", F.explode(ends).alias("x")).groupBy("r", "x.a", "x.b").agg(F.count("*").alias("n")).collect():
+        if row.b is not None:
+            step[at(row.r, row.a), at(row.r, row.b)] += row.n
     after = known.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("r").alias("to"))
-    longer = F.when(F.size("codes") > 1, 1).otherwise(0)
-    pairs = known.withColumn("long", longer).join(after, ["conv_id", "turn"], "left")
-    for row in pairs.groupBy("r", "long", "to").agg(F.count("*").alias("n"), F.sum(F.size("codes")).alias("lines")).collect():
-        first, later = STATES.index((ROLES[row.r], True)), STATES.index((ROLES[row.r], False))
-        if row.long:
-            step[first, later] += row.n
-            step[later, later] += row.lines - 2 * row.n
-        if row.to is not None:
-            step[later if row.long else first, STATES.index((ROLES[row.to], True))] += row.n
+    pairs = known.select("conv_id", "turn", "r", F.element_at("places", -1).alias("last")).join(after, ["conv_id", "turn"])
+    for row in pairs.groupBy("r", "last", "to").agg(F.count("*").alias("n")).collect():
+        step[at(row.r, row.last), at(row.to, FIRST)] += row.n
     opened = known.groupBy("conv_id").agg(F.min_by("r", "turn").alias("r")).groupBy("r").agg(F.count("*").alias("n"))
     for row in opened.collect():
-        start[STATES.index((ROLES[row.r], True))] += row.n
+        start[at(row.r, FIRST)] += row.n
     return Chain(start, step, emit)
 
 
@@ -271,7 +274,7 @@ def parse(transcripts: DataFrame, roles: DataFrame | None = None, chain: Chain |
             for conv_id, turn, text, path, opens, closes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines = _lines(text)
                 for k, (line, s) in enumerate(zip(lines, path, strict=True)):
-                    role, first = STATES[s]
+                    role, first = STATES[s][0], STATES[s][1] == FIRST
                     kind, skip = marker(line)
                     body = line[skip:] if first and 0 < kind < 4 else line
                     start = f"<|im_start|>{role}\n" if first else ""
@@ -286,7 +289,7 @@ def parse(transcripts: DataFrame, roles: DataFrame | None = None, chain: Chain |
     return joined.mapInArrow(run, "conv_id long, turn long, line int, role string, begins boolean, rendered string")
 
 
-#: Ways in which the query writes conversations down; the last has no markers.
+#: Ways in which the query writes conversations down; the last has no markers, but an empty line after each turn.
 STYLES = (("System", "User", "Assistant"), ("Instructions", "Human", "AI"), ("Note", "Q", "A"), ("", "", ""))
 
 
@@ -298,4 +301,5 @@ def as_transcript(conversations: DataFrame) -> DataFrame:
         for role, word in zip(ROLES, names, strict=True):
             if word:
                 name = F.when((style == k) & (F.col("role") == role), F.lit(f"{word}: ")).otherwise(name)
-    return conversations.select("conv_id", "turn", "role", F.concat(name, F.coalesce("text", F.lit(""))).alias("text"))
+    gap = F.when(style == len(STYLES) - 1, F.lit("\n")).otherwise("")
+    return conversations.select("conv_id", "turn", "role", F.concat(name, F.coalesce("text", F.lit("")), gap).alias("text"))

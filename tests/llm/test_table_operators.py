@@ -296,14 +296,15 @@ def test_viterbi_in_chunks_is_viterbi(spark, monkeypatch):
 
 def test_viterbi_finds_the_best_path():
     r = np.random.default_rng(3)
-    chain = chat.Chain(r.integers(0, 9, 6).astype(float), r.integers(0, 9, (6, 6)).astype(float), [r.integers(0, 9, (6, s)).astype(float) for s in chat.SIZES])
+    n = len(chat.STATES)
+    chain = chat.Chain(r.integers(0, 9, n).astype(float), r.integers(0, 9, (n, n)).astype(float), [r.integers(0, 9, (n, s)).astype(float) for s in chat.SIZES])
     codes = r.integers(0, int(np.prod(chat.SIZES)), 5)
     e = chain.emissions(codes)
     score = lambda p: chain.start[p[0]] + e[0][p[0]] + sum(chain.step[a, b] + e[k + 1][b] for k, (a, b) in enumerate(itertools.pairwise(p)))
-    best = max(itertools.product(range(6), repeat=5), key=score)
+    best = max(itertools.product(range(n), repeat=5), key=score)
     assert score(chain.path(codes, None, best[-1]).tolist()) == pytest.approx(score(best))
     m = chain.matrix(codes[1:])
-    assert max((chain.start + e[0])[:, None].repeat(6, 1).__add__(m).max(0)) == pytest.approx(score(best))
+    assert max((chain.start + e[0])[:, None].repeat(n, 1).__add__(m).max(0)) == pytest.approx(score(best))
 
 
 def test_transcript_edge_cases(spark):
