@@ -10,7 +10,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -53,18 +52,3 @@ def discard(df: DataFrame) -> None:
     jvm = df.sparkSession._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def held(df: DataFrame) -> DataFrame:
-    """``df``, kept on the executors' disks when first computed.
-
-    For results that are read more than once at a bounded depth of lineage: blocks of a lost executor are computed
-    again. Loops cut their lineage with ``materialize`` instead. ``release`` frees the disk.
-    """
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
-def release(*frames: DataFrame) -> None:
-    """Free what ``held`` keeps; whatever still needs it computes it again."""
-    for df in frames:
-        df.unpersist()
