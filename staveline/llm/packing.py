@@ -40,7 +40,7 @@ from staveline.llm.tables import small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Documents whose words are looked up together.
-TOGETHER = 64
+TOGETHER = 256
 #: Windows of a partition are numbered from (partition << SHIFT).
 SHIFT = 36
 
@@ -274,7 +274,7 @@ def pack(
     grid: int = 128,
     block: int = 1 << 17,
     with_ids: bool = False,
-    words: int = 500_000,
+    words: int = 800_000,
     keep_words: bool = True,
 ) -> DataFrame:
     """One row for each piece of a document in a window (``SCHEMA``, and ``ids`` if ``with_ids``).
