@@ -371,8 +371,20 @@ def array_union_keep_order(spark, sf_dir):
     WITH p AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem WHERE l_orderkey < 400 GROUP BY 1)
     SELECT a.l_orderkey, b.l_orderkey AS inside FROM p a JOIN p b ON a.l_orderkey <> b.l_orderkey AND a.l_orderkey // 8 = b.l_orderkey // 8 AND list_has_all(b.s, a.s)""")
 def subset_test(spark, sf_dir):
-    """Groups all of whose members another group of the same block holds too."""
-    p = _t(spark, sf_dir, "lineitem").filter("l_orderkey < 400").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s"))
+    """Groups all of whose members another group of the same block holds too; the first orders only, as its SQL states."""
+    return _subsets(_t(spark, sf_dir, "lineitem").filter("l_orderkey < 400"))
+
+
+@query("""
+    WITH p AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1)
+    SELECT a.l_orderkey, b.l_orderkey AS inside FROM p a JOIN p b ON a.l_orderkey <> b.l_orderkey AND a.l_orderkey // 8 = b.l_orderkey // 8 AND list_has_all(b.s, a.s)""")
+def subset_test_whole(spark, sf_dir):
+    """``subset_test`` over every order."""
+    return _subsets(_t(spark, sf_dir, "lineitem"))
+
+
+def _subsets(lines: DataFrame) -> DataFrame:
+    p = lines.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s"))
     p = p.withColumn("block", F.floor(F.col("l_orderkey") / 8))
     q = p.select(F.col("l_orderkey").alias("inside"), F.col("s").alias("t"), "block")
     holds = F.size(F.array_except("s", "t")) == 0

@@ -54,3 +54,9 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_subsets_are_found_in_every_order(spark, duck):
+    got = catalog.queries()["subset_test_whole"](spark, str(SF))
+    blocks, orders = {r.l_orderkey // 8 for r in got.collect()}, duck.execute("SELECT DISTINCT l_orderkey FROM lineitem").fetchall()
+    assert max(blocks) >= 400 // 8 and max(blocks) <= max(o for (o,) in orders) // 8
