@@ -589,8 +589,23 @@ def resolve_tab(spark, sf_dir):
     k AS (SELECT page, list_reduce(list_prepend(4, list(den)), lambda a, b: lcm(a, b)) // 4 AS divisions FROM x GROUP BY page)
     SELECT page, divisions, sum(num * divisions * 4 // den) AS length, count(*) AS notes FROM x JOIN k USING (page) GROUP BY page, divisions""")
 def score_export(spark, sf_dir):
-    """Documents of notes, read back: divisions, sounding length and number of notes of each page."""
-    li, p = _t(spark, sf_dir, "lineitem").filter("l_orderkey < 2000"), _t(spark, sf_dir, "part").select("p_partkey", "p_size")
+    """Documents of notes, read back: divisions, sounding length and number of notes of each page; the first orders only, as its SQL states."""
+    return _exported(_t(spark, sf_dir, "lineitem").filter("l_orderkey < 2000"), _t(spark, sf_dir, "part"))
+
+
+@query("""
+    WITH n AS (SELECT l_orderkey AS page, l_linenumber, p_size, CAST(l_quantity AS BIGINT) % 3 AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq
+               FROM lineitem JOIN part ON l_partkey = p_partkey),
+    x AS (SELECT page, seq, 1 AS num, [4, 8, 6][d + 1] AS den, p_size FROM n),
+    k AS (SELECT page, list_reduce(list_prepend(4, list(den)), lambda a, b: lcm(a, b)) // 4 AS divisions FROM x GROUP BY page)
+    SELECT page, divisions, sum(num * divisions * 4 // den) AS length, count(*) AS notes FROM x JOIN k USING (page) GROUP BY page, divisions""")
+def score_export_whole(spark, sf_dir):
+    """``score_export`` with a document for every order."""
+    return _exported(_t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "part"))
+
+
+def _exported(li: DataFrame, part: DataFrame) -> DataFrame:
+    p = part.select("p_partkey", "p_size")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     names = F.array(*[F.lit(x) for x in "CDEFGAB"])
     notes = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
