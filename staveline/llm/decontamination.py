@@ -4,11 +4,17 @@ A seed is a mask over ``span`` successive tokens; positions marked 0 are
 ignored, so that a substituted token under one of them does not hide the
 window. Every window of every benchmark item and of every document is hashed
 under each mask; equal hashes are hits. A hit fixes the alignment of item and
-document; the aligned stretch around it is then compared token by token, and
-its best run (+1 for an equal token, ``-mismatch`` for a different one) is
-accepted if it holds ``min_tokens`` equal tokens (or the whole item, for items
-of ``min_item`` tokens and more) and at least ``min_identity`` of its tokens
-are equal.
+document; the aligned stretch around it is then compared token by token. It is
+accepted, with ``any_run``, if any run of it holds ``min_tokens`` equal tokens (or ``min_identity``
+of the item, for shorter items of ``min_item`` tokens and more) and at least
+``min_identity`` of the run's tokens are equal. Reported is the best run (+1 for
+an equal token, ``-mismatch`` for a different one) if it is such a run, else
+the one with most equal tokens. Without ``any_run`` only the best run counts.
+
+No such run is without a seed (``masks_for``): m replaced tokens leave m + 1
+stretches, which at the fixed thresholds have a run of four equal tokens, or,
+with 8 of 10, 9 of 11 and 12 of 15 tokens equal, neighbouring runs of two and
+three.
 
 Tokens are runs of letters and digits of the lower-cased text; punctuation and
 layout play no part. The benchmark side is a stated query set: it is worked off
@@ -23,7 +29,9 @@ tokens cannot be told from chance and are ignored. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +42,8 @@ from pyspark.sql import functions as F
 from staveline.llm.kernels import _ODD, NON_WORD, mix, runs, word_hashes, words
 from staveline.llm.tables import small_batches
 
-#: Seeds of span 8 and weight 5 or 6; the first and last tokens count in each.
-MASKS = ("11101101", "11011011", "10110111", "11001111", "11110001")
+#: Every overlap of the thresholds 12 tokens, items of 8 and identity 0.8 holds one of these.
+MASKS = ("1111", "1110111", "111011")
 SCHEMA = "doc_id long, item_id long, doc_start long, doc_tokens long, n_tokens long, n_equal long, identity double"
 
 
@@ -48,6 +56,15 @@ def token_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
             yield hashes[per_text[i] : per_text[i + 1]]
 
 
+def masks_for(min_tokens: int, min_item: int, min_identity: float) -> tuple[str, ...]:
+    """Masks one of which fits each accepted overlap; below the fixed thresholds the longest run that all must hold."""
+    if min_tokens >= 12 and min_item >= 8 and min_identity >= 0.8:
+        return MASKS
+    least = max(1, math.ceil(min(min_tokens, min_identity * min_item) - 1e-9))
+    lost = [math.floor(s * (1 - min_identity) / max(min_identity, 1e-9) + 1e-9) for s in range(least, least + 200)]
+    return ("1" * min(-(-s // (m + 1)) for s, m in enumerate(lost, least)),)
+
+
 def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
     """The hash of each window of ``len(mask)`` tokens under the mask."""
     n = len(hashes) - len(mask) + 1
@@ -68,14 +85,27 @@ def best_run(equal: np.ndarray, mismatch: float) -> tuple[int, int]:
     return int(np.flatnonzero(score[: end + 1] == low[end])[-1]), end
 
 
+def fullest_run(equal: np.ndarray, min_identity: float) -> tuple[int, int]:
+    """``first, end`` of the run with most equal tokens that has ``min_identity`` of them; the earliest on ties."""
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return 0, 0
+    share = Fraction(min_identity).limit_denominator(1_000_000)
+    # Equal tokens i to j fit if (j + 1 - i) * denominator >= (at[j] + 1 - at[i]) * numerator.
+    score = np.arange(len(at)) * share.denominator - at * share.numerator
+    first = np.searchsorted(-np.minimum.accumulate(score), -(score + share.denominator - share.numerator))
+    j = int(np.argmax(np.arange(len(at)) - first))
+    return int(at[first[j]]), int(at[j]) + 1
+
+
 class SeedIndex:
     """The items of one benchmark block and the sorted hashes of their windows."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.items = items
+    def __init__(self, items: list[tuple[int, np.ndarray]], masks: tuple[str, ...] = MASKS):
+        self.items, self.masks = items, masks
         hashes, where = [], []
         for k, (_, tokens) in enumerate(items):
-            for mask in MASKS:
+            for mask in masks:
                 h = seed_hashes(tokens, mask)
                 hashes.append(h)
                 where.append(np.stack([np.full(len(h), k), np.arange(len(h))], 1))
@@ -93,7 +123,7 @@ class SeedIndex:
     def hits(self, tokens: np.ndarray) -> set[tuple[int, int]]:
         """Distinct (item, shift of the item against the document)."""
         found: set[tuple[int, int]] = set()
-        for mask in MASKS:
+        for mask in self.masks:
             h = seed_hashes(tokens, mask)
             at = np.flatnonzero(self.seen[h >> self.shift])
             if len(at):
@@ -102,22 +132,28 @@ class SeedIndex:
                     found.update((k, i - j) for k, j in self.where[a:b].tolist())
         return found
 
-    def verify(self, tokens: np.ndarray, k: int, shift: int, min_tokens: int, min_identity: float, mismatch: float):
+    def verify(self, tokens: np.ndarray, k: int, shift: int, min_tokens: int, min_identity: float, mismatch: float, any_run: bool):
         """``start in the document, length, equal tokens`` of an accepted overlap, else None."""
         item = self.items[k][1]
         lo, hi = max(0, -shift), min(len(item), len(tokens) - shift)
         equal = item[lo:hi] == tokens[lo + shift : hi + shift]
+        need = max(1, min(min_tokens, min_identity * len(item)))
+        if np.count_nonzero(equal) < need:
+            return None
         first, end = best_run(equal, mismatch)
         same = int(equal[first:end].sum())
-        if same >= min_identity * (end - first) and same >= min(min_tokens, min_identity * len(item)) and same:
-            return lo + first + shift, end - first, same
-        return None
-
-    def found(self, tokens: np.ndarray, min_tokens: int, min_identity: float, mismatch: float) -> dict:
+        if same < need or same < min_identity * (end - first):
+            if not any_run:
+                return None
+            first, end = fullest_run(equal, min_identity)
+            same = int(equal[first:end].sum())
+        return (lo + first + shift, end - first, same) if same >= need else None
+
+    def found(self, tokens: np.ndarray, min_tokens: int, min_identity: float, mismatch: float, any_run: bool) -> dict:
         """For each item in the document: start, length and equal tokens of its longest accepted overlap."""
         best: dict[int, tuple[int, int, int]] = {}
         for k, shift in sorted(self.hits(tokens)):
-            got = self.verify(tokens, k, shift, min_tokens, min_identity, mismatch)
+            got = self.verify(tokens, k, shift, min_tokens, min_identity, mismatch, any_run)
             if got and (k not in best or got[2] > best[k][2]):
                 best[k] = got
         return {self.items[k][0]: v for k, v in best.items()}
@@ -135,12 +171,13 @@ def overlaps(
     min_item: int = 8,
     min_identity: float = 0.8,
     mismatch: float = 1.5,
+    any_run: bool = False,
     block_hashes: int = 1 << 20,
 ) -> DataFrame:
     """The longest verified overlap of each document with each item it holds (``SCHEMA``)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = [x.strip().split(" ")[0] for x in SCHEMA.split(",")]
-    limits = (min_tokens, min_identity, mismatch)
+    limits = (min_tokens, min_identity, mismatch, any_run)
 
     def matcher(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +192,7 @@ def overlaps(
 
         return run
 
-    parts = [rows.mapInArrow(matcher(i), SCHEMA) for i in _blocks(benchmark, item_col, item_text_col, min_item, block_hashes)]
+    parts = [rows.mapInArrow(matcher(i), SCHEMA) for i in _blocks(benchmark, item_col, item_text_col, min_item, block_hashes, masks_for(min_tokens, min_item, min_identity))]
     result = parts[0]
     for part in parts[1:]:
         result = result.union(part)
@@ -173,10 +210,11 @@ def clean(
     min_item: int = 8,
     min_identity: float = 0.8,
     mismatch: float = 1.5,
+    any_run: bool = False,
     block_hashes: int = 1 << 20,
 ) -> DataFrame:
     """The rows of ``docs`` without a verified overlap, with all their columns; one pass for each benchmark block."""
-    at, limits = docs.columns.index(text_col), (min_tokens, min_identity, mismatch)
+    at, limits = docs.columns.index(text_col), (min_tokens, min_identity, mismatch, any_run)
 
     def keeper(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +224,12 @@ def clean(
 
         return run
 
-    for index in _blocks(benchmark, item_col, item_text_col, min_item, block_hashes):
+    for index in _blocks(benchmark, item_col, item_text_col, min_item, block_hashes, masks_for(min_tokens, min_item, min_identity)):
         docs = docs.mapInArrow(keeper(index), docs.schema)
     return docs
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, min_item: int, block_hashes: int) -> list:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, min_item: int, block_hashes: int, masks: tuple[str, ...] = MASKS) -> list:
     """Broadcast indexes of the benchmark, of a bounded size each; one at least."""
     context = small_batches(benchmark).sparkSession.sparkContext
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
@@ -200,10 +238,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, min_item: int, b
         tokens = next(token_hashes(pa.array([row.t], pa.string())))
         if len(tokens) >= min_item:
             block.append((row.i, tokens))
-            size += len(MASKS) * len(tokens)
+            size += len(masks) * len(tokens)
             if size >= block_hashes:
-                out.append(context.broadcast(SeedIndex(block)))
+                out.append(context.broadcast(SeedIndex(block, masks)))
                 block, size = [], 0
     if block or not out:
-        out.append(context.broadcast(SeedIndex(block)))
+        out.append(context.broadcast(SeedIndex(block, masks)))
     return out

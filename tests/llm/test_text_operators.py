@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from staveline.llm import pii, toxicity
-from staveline.llm.decontamination import MASKS, clean, overlaps
+from staveline.llm.decontamination import MASKS, SeedIndex, clean, overlaps
 from staveline.llm.packing import choose_cuts, pack
 from staveline.llm.tables import vocabulary
 
@@ -262,6 +263,32 @@ def test_overlaps_match_a_plain_alignment(spark):
     assert {x.doc_id for x in clean(df, bench, block_hashes=100).collect()} == set(range(60)) - {i for i, _ in want}
 
 
+def test_every_accepted_run_holds_a_seed_and_is_found():
+    """All replacements in short items, random ones in longer items, against trying every run; no seed and no score rule."""
+    r = random.Random(5)
+    for n in range(8, 41):
+        item = np.array([r.getrandbits(63) for _ in range(n)], np.uint64)
+        index = SeedIndex([(0, item)])
+        sets = [c for m in range(5) for c in itertools.combinations(range(n), m)] if n <= 12 else []
+        sets += [r.sample(range(n), r.randrange(1, n // 4 + 3)) for _ in range(400)] if n > 12 else []
+        for lost in sets:
+            held = item.copy()
+            held[list(lost)] = [r.getrandbits(63) for _ in lost]
+            equal = [0, *itertools.accumulate((held == item).astype(int).tolist())]
+            want = max((s for a in range(n) for b in range(a + 1, n + 1) if (s := equal[b] - equal[a]) * 5 >= 4 * (b - a) and s >= min(12, 0.8 * n)), default=0)
+            got = index.found(held, 12, 0.8, 1.5, True)
+            assert bool(got) == bool(want) and (not got or got[0][2] >= min(12, 0.8 * n)), (n, lost)
+
+
+def test_replaced_tokens_near_both_ends_do_not_hide_an_item(spark):
+    item = [f"w{i}" for i in range(15)]
+    held = [w if i not in (1, 13) else "other" for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, "before " + " ".join(held) + " after")], DOC)
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    (row,) = overlaps(docs, bench, any_run=True).collect()
+    assert (row.doc_start, row.n_tokens, row.n_equal) == (1, 15, 13) and clean(docs, bench, any_run=True).count() == 0
+
+
 def test_decontamination_edge_cases(spark):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen"
     docs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, ""), (None, text)], DOC)
