@@ -3,10 +3,14 @@
 DataFrame functions only. The tree is grown level by level over the distinct
 (host, path shape) pairs, which are counted before anything is joined:
 
-1. Digits become ``#``; the shape's first ``depth`` segments are tree levels,
-   what follows is one tail ``**``.
-2. At each node a segment stays literal if it has ``min_support`` rows and
-   ``min_share`` of the node's rows; all others are one wildcard ``*``.
+1. Digits become ``#``; each segment of the shape is a tree level, as deep as
+   some host has ``min_support`` rows. Deeper segments are alike by definition
+   (2 makes them ``*``, 3 merges them) and are written as ``+`` at once.
+2. At each node a segment of ``min_support`` rows stays literal if no more than
+   ``fan_out`` segments of the node have so many, or if it has ``own_tree``
+   rows, or if its share of bad labels differs from that of the rest of the
+   node (as in 3); all others are one wildcard ``*``. Other pages of the host
+   do not count as a share.
 3. From the leaves up, a branch whose share of bad labels does not differ from
    that of its siblings together (two-proportion z below ``merge_z``) is merged
    into their common branch ``+``.
@@ -26,7 +30,7 @@ whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staveline.sources.scratch import discard, materialize
@@ -77,25 +81,46 @@ def _rate(bad: str, n: str) -> Column:
     return F.col(bad) / F.greatest(F.col(n), F.lit(1))
 
 
+def _apart(z: float) -> Column:
+    """Whether the bad share of ``own_bad`` of ``own_n`` differs from the rest of ``all_bad`` of ``all_n``."""
+    rest_n, rest_bad = F.col("all_n") - F.col("own_n"), F.col("all_bad") - F.col("own_bad")
+    p = _rate("all_bad", "all_n")
+    spread = p * (1 - p) * (1 / F.greatest("own_n", F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1)))
+    gap = _rate("own_bad", "own_n") - rest_bad / F.greatest(rest_n, F.lit(1))
+    return (F.col("own_n") > 0) & (rest_n > 0) & (gap * gap > z * z * spread)
+
+
+def _supported_depth(rows: DataFrame, min_support: int) -> int:
+    """The deepest level at which some host has ``min_support`` rows; below it no segment can be told apart."""
+    sizes = rows.groupBy("host", F.size("parts").alias("size")).agg(F.sum("n").alias("n"))
+    deeper = F.sum("n").over(Window.partitionBy("host").orderBy(F.desc("size")))  # over path lengths only
+    return sizes.withColumn("n", deeper).filter(F.col("n") >= min_support).agg(F.max("size")).first()[0] or 0
+
+
 def path_templates(
-    counts: DataFrame, *, depth: int = 3, min_support: int = 5, min_share: float = 0.01, merge_z: float = 1.96
+    counts: DataFrame, *, min_support: int = 5, fan_out: int = 100, own_tree: int = 1000, merge_z: float = 1.96
 ) -> DataFrame:
     """``host, shape, template`` from ``host, shape, n, labelled, bad`` (one row for each host and shape)."""
     parts = F.filter(F.split("shape", "/"), lambda s: s != "")
     rows = counts.select(
         "host", "shape", "n", "labelled", "bad", parts.alias("parts"), F.array().cast("array<string>").alias("levels")
     )
+    depth = _supported_depth(rows, min_support)
     for k in range(depth):
         prefix = F.concat_ws("/", "levels")
         rows = rows.withColumns({"prefix": prefix, "part": F.get("parts", F.lit(k))})
         last, rows = rows, materialize(rows, "templates")
         discard(last)
-        nodes = rows.filter("part is not null").groupBy("host", "prefix", "part").agg(F.sum("n").alias("rows"))
-        totals = nodes.groupBy("host", "prefix").agg(F.sum("rows").alias("total"))
+        nodes = rows.filter("part is not null").groupBy("host", "prefix", "part").agg(
+            F.sum("n").alias("rows"), F.sum("labelled").alias("own_n"), F.sum("bad").alias("own_bad")
+        )
+        totals = nodes.groupBy("host", "prefix").agg(
+            F.count(F.when(F.col("rows") >= min_support, 1)).alias("segments"), F.sum("own_n").alias("all_n"), F.sum("own_bad").alias("all_bad")
+        )
         kept = (
             nodes.filter(F.col("rows") >= min_support)
             .join(totals, ["host", "prefix"])
-            .filter(F.col("rows") >= min_share * F.col("total"))
+            .filter((F.col("segments") <= fan_out) | (F.col("rows") >= own_tree) | _apart(merge_z))
             .select("host", "prefix", "part", F.lit(True).alias("literal"))
         )
         level = F.when(F.col("literal"), F.col("part")).when(F.col("part").isNotNull(), F.lit("*"))
@@ -103,10 +128,10 @@ def path_templates(
             "host", "shape", "n", "labelled", "bad", "parts",
             F.when(level.isNotNull(), F.array_append("levels", level)).otherwise(F.col("levels")).alias("levels"),
         )
-        grown._scratch_path, rows = rows._scratch_path, grown
-    tail = F.when(F.size("parts") > depth, F.array_append("levels", F.lit("**"))).otherwise(F.col("levels"))
-    grown = rows.select("host", "shape", "labelled", "bad", tail.alias("levels"))
-    grown._scratch_path, rows = rows._scratch_path, grown
+        grown._scratch_path, rows = getattr(rows, "_scratch_path", None), grown
+    deeper = F.array_repeat(F.lit("+"), F.greatest(F.size("parts") - depth, F.lit(0)))
+    grown = rows.select("host", "shape", "labelled", "bad", F.concat("levels", deeper).alias("levels"))
+    grown._scratch_path, rows = getattr(rows, "_scratch_path", None), grown
     for k in range(depth, 0, -1):
         # A branch is what stands at level k below its parent; the siblings are all branches of that parent.
         rows = rows.withColumns(
@@ -120,13 +145,8 @@ def path_templates(
             .agg(F.sum("labelled").alias("own_n"), F.sum("bad").alias("own_bad"))
         )
         pool = own.groupBy("host", "parent").agg(F.sum("own_n").alias("all_n"), F.sum("own_bad").alias("all_bad"))
-        rest_n, rest_bad = F.col("all_n") - F.col("own_n"), F.col("all_bad") - F.col("own_bad")
-        p = _rate("all_bad", "all_n")
-        spread = p * (1 - p) * (1 / F.greatest("own_n", F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1)))
-        gap = _rate("own_bad", "own_n") - rest_bad / F.greatest(rest_n, F.lit(1))
-        apart = (F.col("own_n") > 0) & (rest_n > 0) & (gap * gap > merge_z * merge_z * spread)
-        alike = own.join(pool, ["host", "parent"]).select("host", "parent", "branch", (~apart).alias("alike"))
-        merged = F.concat(F.slice("levels", 1, k - 1), F.array(F.lit("+")), F.slice("levels", k + 1, depth + 1))
+        alike = own.join(pool, ["host", "parent"]).select("host", "parent", "branch", (~_apart(merge_z)).alias("alike"))
+        merged = F.concat(F.slice("levels", 1, k - 1), F.array(F.lit("+")), F.slice("levels", k + 1, F.size("levels")))
         grown = rows.join(alike, ["host", "parent", "branch"], "left").select(
             "host", "shape", "labelled", "bad", F.when(F.col("alike"), merged).otherwise(F.col("levels")).alias("levels")
         )

@@ -217,6 +217,23 @@ def test_templates_generalise_and_reject(spark):
     assert {verdicts[1000 + i][0] for i in range(400)} == {"/spam/+"} and len({verdicts[2000 + i][0] for i in range(400)}) == 1
 
 
+def test_deep_sections_and_small_directories_are_told_apart(spark):
+    rows = []
+    for i in range(300):
+        section = "abc"[i % 3]
+        rows.append((i, f"http://news.test/2024/05/12/{section}/x{i}", section == "a"))
+        rows.append((1000 + i, f"http://deep.test/p/q/r/s/t/u/{section}/y{i}", section == "a"))
+    rows += [(2000 + i, f"http://hot.test/d{chr(97 + i % 20)}/z{i}", False) for i in range(3000)]
+    rows += [(6000 + i, f"http://hot.test/rare/z{i}", True) for i in range(20)]  # 0.7 % of the host
+    rows += [(7000 + i, f"http://wide.test/{''.join(chr(97 + int(c)) for c in str(i % 150))}/z{i}", i % 150 == 7) for i in range(1500)]
+    rows += [(9000, "http://long.test" + "/a" * 400, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    out = {r.page_id: r for r in url_templates.judge_urls(df, []).collect()}
+    assert len(out) == len(rows)
+    assert all((out[p].verdict == "block") == bool(bad) for p, _, bad in rows)
+    assert out[9000].template == "/+" * 400
+
+
 def test_url_filter_runs_no_python(spark):
     df = spark.createDataFrame([(1, "http://a/b", True)], "page_id long, url string, bad boolean")
     plan = url_templates.judge_urls(df.filter("page_id > 0"), RULES)._jdf.queryExecution().executedPlan().toString()
