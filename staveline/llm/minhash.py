@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staveline.llm.kernels import shingle_sets
-from staveline.llm.tables import small_batches
+from staveline.llm.tables import BROADCAST_IDS, small_batches
 from staveline.operators.components import connected_components
 from staveline.sources.scratch import discard, materialize
 
@@ -102,10 +102,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, per_cent: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-#: Up to so many ids are broadcast to pick their rows; beyond, the rows are shuffled.
-BROADCAST_IDS = 2_000_000
-
-
 def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is in ``ids``."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

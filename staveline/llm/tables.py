@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of whole texts that go to a Python worker at once.
 BATCH_ROWS = 1024
+#: Up to so many 64-bit ids are broadcast to pick their rows; beyond, the rows are shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -253,7 +253,7 @@ def test_overlaps_match_a_plain_alignment(spark):
         _, minus_b, a = max(runs)  # of equal scores the earliest end, then the shortest
         same, size = sum(equal[a:-minus_b]), -minus_b - a
         seeded = any(all(equal[a + j] for j, on in enumerate(m) if on == "1") for m in MASKS for a in range(n - len(m) + 1))
-        if n >= 8 and seeded and same >= 0.8 * size and same >= min(12, 0.8 * n):
+        if (seeded and same >= 0.8 * size and same >= min(12, 0.8 * n)) if n >= 8 else same == n:
             want.add((i, k))
     df = spark.createDataFrame(docs, DOC).selectExpr("*", "1 as item_id")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
@@ -289,6 +289,40 @@ def test_replaced_tokens_near_both_ends_do_not_hide_an_item(spark):
     assert (row.doc_start, row.n_tokens, row.n_equal) == (1, 15, 13) and clean(docs, bench, any_run=True).count() == 0
 
 
+def test_short_items_are_found_whole(spark):
+    items = ["What is the capital of France?", "Who was it", "yes", "one two three four five six seven"]
+    docs = [
+        "what is the CAPITAL of france", "So: what is the capital of France, they asked", "what is the capital of spain", "yes", "Yes, who was it then",
+        "who was it", "one two three four five six seven", "one two three four x six seven", "yes yes", "zero one two three four five six seven",
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), DOC)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(0, 0), (1, 0), (3, 2), (5, 1), (6, 3), (9, 3)}
+    for hashes in (1 << 20, 1):
+        assert {(x.doc_id, x.item_id) for x in overlaps(df, bench, any_run=True, block_hashes=hashes).collect()} == want
+        assert {x.doc_id for x in clean(df, bench, any_run=True, block_hashes=hashes).collect()} == set(range(10)) - {i for i, _ in want}
+
+
+def test_joined_hashes_give_the_rows_of_the_broadcast_index(spark):
+    """Shared prompts, long texts, repeated rows and ids, ties between equal overlaps."""
+    r = random.Random(4)
+    prompt = _words(r, 9)
+    items = [(i, " ".join(prompt + _words(r, r.randrange(1, 25)))) for i in range(40)] + [(3, " ".join(_words(r, 20))), (50, None), (51, "")]
+    docs = []
+    for i in range(60):
+        item = r.choice(items[:41])[1].split()
+        item[r.randrange(len(item))] = "zz"
+        docs.append((i // 2, " ".join(_words(r, 30) + item + _words(r, 5) + (item if i % 5 == 0 else []))))
+    docs += [docs[0], (None, docs[1][1]), (None, None), (99, ""), (98, " ".join(_words(r, 60_000)) + " " + items[5][1])]
+    df = spark.createDataFrame([(*d, "clash", i) for i, d in enumerate(docs)], DOC + ", h string, item_id int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda rows: sorted(tuple(-1 if v is None else v for v in x) for x in rows)
+    one, other = (key(overlaps(df, bench, any_run=True, block_hashes=n).collect()) for n in (1 << 20, 1))
+    assert one == other and len(one) > 60 and any(x[0] == 98 for x in one)
+    kept = [sorted(x.item_id for x in clean(df, bench, any_run=True, block_hashes=n).collect()) for n in (1 << 20, 1)]
+    assert kept[0] == kept[1] and clean(df, bench, block_hashes=1).columns == df.columns
+
+
 def test_decontamination_edge_cases(spark):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen"
     docs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, ""), (None, text)], DOC)
