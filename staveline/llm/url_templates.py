@@ -55,8 +55,11 @@ def _fits(host: Column, path: Column, rule: tuple[str, str, str]) -> Column:
 
 
 def with_rule(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """``rows`` (with ``host`` and ``path``) and the ``rule`` and ``rule_verdict`` of the longest rule that fits."""
-    ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    """``rows`` (with ``host`` and ``path``) and the ``rule`` and ``rule_verdict`` of the longest rule that fits.
+
+    Of rules of one length the first in text order wins, of equal rules the one that allows.
+    """
+    ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2], r[0]))
     if len(ordered) <= INLINE_RULES:
         rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
         for r in reversed(ordered):
@@ -71,7 +74,7 @@ def with_rule(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     pairs = rows.select("host", "path").distinct()
     hits = pairs.withColumn("at", F.explode(suffix)).join(listed, "at").filter(F.col("path").startswith(F.col("start")))
     best = hits.groupBy("host", "path").agg(
-        F.max(F.struct(F.length(F.concat("at", "start")), F.concat("at", "start").alias("rule"), "v")).alias("best")
+        F.min(F.struct(-F.length(F.concat("at", "start")), F.concat("at", "start").alias("rule"), "v")).alias("best")
     )
     best = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.v").alias("rule_verdict"))
     return rows.join(best, ["host", "path"], "left")

@@ -203,6 +203,16 @@ def test_rules_hosts_and_paths(spark, monkeypatch, inline):
     assert url_templates.judge_urls(df.limit(0), RULES).count() == 0
 
 
+@pytest.mark.parametrize("inline", [64, 0])
+def test_rules_of_one_length_are_judged_alike_on_both_paths(spark, monkeypatch, inline):
+    monkeypatch.setattr(url_templates, "INLINE_RULES", inline)
+    rules = [("block", "b.a.com", "/x"), ("allow", "a.com", "/xyz"), ("block", "c.com", "/t"), ("allow", "c.com", "/t")]
+    urls = ["http://b.a.com/xyz", "http://c.com/t", "http://b.a.com/x", "http://c.com/t", "http://c.com/" + "s/" * 5000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "cast(null as boolean) as bad")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_templates.judge_urls(df, rules).collect()}
+    assert got == {0: ("a.com/xyz", "allow"), 1: ("c.com/t", "allow"), 2: ("b.a.com/x", "block"), 3: ("c.com/t", "allow"), 4: (None, "allow")}
+
+
 def test_templates_generalise_and_reject(spark):
     rows = []
     for i in range(400):
