@@ -10,7 +10,9 @@ around each digit group or at-sign. A candidate segment is a run of at most
 digit count, checks, separators, the word before it, what touches it). Dynamic
 programming over positions and the label of the segment before chooses
 boundaries and kinds together. Text without digits or at-signs holds no
-candidate, so its only labelling is the empty one and it is not visited.
+candidate, so its only labelling is the empty one and it is not visited. A
+stretch of any length is decoded as one: arcs are scored as they are met, and
+of the scores so far only those that a segment can still reach are held.
 
 The field is trained in the driver, by gradient ascent on the conditional
 log-likelihood, on ``TRAINING`` generated lines with a fixed seed: written
@@ -29,7 +31,8 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,8 +119,8 @@ def _shape(piece: str) -> str:
     return re.sub(r"\s+", " ", out)
 
 
-def segment_features(text: str, start: int, end: int, kind: str) -> list[str]:
-    """Names of the features of a whole segment under a kind."""
+def segment_features(text: str, start: int, end: int) -> list[str]:
+    """Names of the features of a whole segment."""
     piece = text[start:end]
     digits = re.sub(r"[^0-9]", "", piece)
     lower = piece.lower()
@@ -139,11 +142,11 @@ def segment_features(text: str, start: int, end: int, kind: str) -> list[str]:
     dot = "." in piece or re.search(r"[(\[ ]dot[)\] ]", lower) is not None
     f.append(f"at={at} dot={dot}")
     f.append(f"edges={piece[0].isalnum() or piece[0] in '(+'}{piece[-1].isalnum()}")
-    return [f"{kind}|{x}" for x in f]
+    return f
 
 
-def candidates(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """Segments (first token, end token, kind) that may hold personal data.
+def candidates(text: str, toks: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Segments (first token, end token, kind) that may hold personal data, by first token.
 
     Digit kinds: from a digit run, ``+`` or ``(`` to a digit run, without letters, of 7 to 22 digits.
     Addresses: from a letter or digit run to a letter run, with one at-sign or spelt-out ``at``.
@@ -152,7 +155,6 @@ def candidates(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, s
     is_digit = [w[0] in "0123456789" for w in words]
     is_alpha = [w[0].isalpha() for w in words]
     at = [w == "@" or (w.lower() == "at" and 0 < k < len(words) - 1 and words[k - 1] in "([" and words[k + 1] in ")]") for k, w in enumerate(words)]
-    out = []
     for i, w in enumerate(words):
         if is_digit[i] or w in "+(":
             count = 0
@@ -164,9 +166,11 @@ def candidates(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, s
                     if count > 22:
                         break
                     if count >= 7:
-                        out += [(i, j + 1, "phone"), (i, j + 1, "card")] if count >= 13 else [(i, j + 1, "phone")]
+                        yield i, j + 1, "phone"
+                        if count >= 13:
+                            yield i, j + 1, "card"
                         if count <= 12 and j > i:
-                            out.append((i, j + 1, "ip"))
+                            yield i, j + 1, "ip"
         if is_digit[i] or is_alpha[i]:
             seen = False
             for j in range(i + 1, min(len(words), i + MAX_TOKENS)):
@@ -174,17 +178,19 @@ def candidates(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, s
                 if words[j].isspace() and words[j] != " ":
                     break
                 if seen and is_alpha[j] and not at[j] and words[j].lower() != "dot":
-                    out.append((i, j + 1, "email"))
-    return out
+                    yield i, j + 1, "email"
 
 
 Arc = tuple[int, int, int, list[str]]
 
 
-def lattice(text: str, toks: list[tuple[int, int]]) -> list[Arc]:
-    return [
-        (i, j, LABELS.index(y), segment_features(text, toks[i][0], toks[j - 1][1], y)) for i, j, y in candidates(text, toks)
-    ]
+def lattice(text: str, toks: list[tuple[int, int]]) -> Iterator[Arc]:
+    """Arcs (first token, end token, label, features under the label), by first token."""
+    at, features = None, []
+    for i, j, y in candidates(text, toks):
+        if at != (i, j):
+            at, features = (i, j), segment_features(text, toks[i][0], toks[j - 1][1])
+        yield i, j, LABELS.index(y), [f"{y}|{x}" for x in features]
 
 
 def _log_sum(values: list[float]) -> float:
@@ -205,21 +211,35 @@ def _turn(w: dict[str, float]) -> list[list[float]]:
     return [[w.get(f"turn|{a}|{b}", 0.0) for b in range(len(LABELS))] for a in range(len(LABELS))]
 
 
-def decode(arcs: list[Arc], n: int, w: dict[str, float]) -> list[tuple[int, int, int]]:
-    """The best labelling's entity segments (first token, end token, label)."""
-    turn, size = _turn(w), len(LABELS)
-    best = [[-1e300] * size for _ in range(n + 1)]
-    back: list[list] = [[None] * size for _ in range(n + 1)]
+def decode(arcs: Iterable[Arc], n: int, w: dict[str, float]) -> list[tuple[int, int, int]]:
+    """The best labelling's entity segments (first token, end token, label); ``arcs`` by first token.
+
+    On ties the smaller label before and the earlier first token win.
+    """
+    turn, size, ring = _turn(w), len(LABELS), MAX_TOKENS + 1
+    best = [[-1e300] * size for _ in range(ring)]  # of the places that a segment from here can end at
     best[0][0] = 0.0
-    for j, ends in enumerate(_scored(arcs, n, w)):
-        for i, y, s, _ in ends:
-            for x in range(size):
-                v = best[i][x] + turn[x][y] + s
-                if v > best[j][y]:
-                    best[j][y], back[j][y] = v, (i, x)
-    out, j, y = [], n, max(range(size), key=lambda k: best[n][k])
+    begun, before = array("q", bytes(8 * size * (n + 1))), array("b", bytes(size * (n + 1)))
+    arcs = iter(arcs)
+    arc = next(arcs, None)
+    for i in range(n):
+        here = best[i % ring]
+        into = [max(range(size), key=lambda x: here[x] + turn[x][y]) for y in range(size)]  # noqa: B023
+        value = [here[x] + turn[x][y] for y, x in enumerate(into)]
+        best[i % ring] = [-1e300] * size
+        if value[0] > best[(i + 1) % ring][0]:
+            best[(i + 1) % ring][0] = value[0]
+            begun[(i + 1) * size], before[(i + 1) * size] = i, into[0]
+        while arc is not None and arc[0] == i:
+            _, j, y, f = arc
+            v = value[y] + sum(w.get(x, 0.0) for x in f)
+            if v > best[j % ring][y]:
+                best[j % ring][y] = v
+                begun[j * size + y], before[j * size + y] = i, into[y]
+            arc = next(arcs, None)
+    out, j, y = [], n, max(range(size), key=lambda k: best[n % ring][k])
     while j:
-        i, x = back[j][y]
+        i, x = begun[j * size + y], before[j * size + y]
         if y:
             out.append((i, j, y))
         j, y = i, x
@@ -324,7 +344,7 @@ def train(seed: int = 11, lines: int = TRAINING, passes: int = 3, rate: float =
         text, spans = _line(r)
         toks = tokens(text, 0, len(text))
         start, end = {a: k for k, (a, _) in enumerate(toks)}, {b: k + 1 for k, (_, b) in enumerate(toks)}
-        arcs = lattice(text, toks)
+        arcs = list(lattice(text, toks))
         known = {(i, j, y) for i, j, y, _ in arcs}
         gold = [(start[a], end[b], LABELS.index(k)) for a, b, k in spans if a in start and b in end]
         gold = [x for x in gold if x in known]
@@ -358,7 +378,17 @@ def windows(text: str, around: int = 48) -> list[tuple[int, int]]:
     at = 0
     while m := _ANY.search(text, at):
         first, end = max(0, m.start() - around), min(len(text), m.end() + around)
-        if out and first <= out[-1][1]:
+        met = out and first <= out[-1][1]
+        if met:
+            first, end = out[-1][0], max(end, out[-1][1])
+        # Each run of letters is walked once: a stretch that ends in it takes in those that follow there.
+        while end < len(text) and (text[end - 1] + text[end]).isalnum():
+            end += 1
+        while not met and 0 < first and (text[first - 1] + text[first]).isalnum():
+            first -= 1
+        if met:
+            out[-1] = (first, end)
+        elif out and first <= out[-1][1]:
             out[-1] = (out[-1][0], end)
         else:
             out.append((first, end))
@@ -366,26 +396,18 @@ def windows(text: str, around: int = 48) -> list[tuple[int, int]]:
     return out
 
 
-#: A stretch is decoded in pieces of at most so many tokens; they overlap by two segments' length.
-PIECE = 400
-
-
 def added_spans(text: str, base: list[Span], w: dict[str, float]) -> list[Span]:
     """Spans of the field that touch no base span."""
-    taken = sorted((a, b) for _, a, b in base)
-    out: set[Span] = set()
+    taken = np.array(sorted((a, b) for _, a, b in base), np.int64).reshape(-1, 2)
+    reach = np.maximum.accumulate(taken[:, 1]) if len(taken) else taken[:, 1]
+    out: list[Span] = []
     for first, end in windows(text):
         toks = tokens(text, first, end)
-        for k in range(0, len(toks), PIECE - 2 * MAX_TOKENS):
-            piece = toks[k : k + PIECE]
-            arcs = lattice(text, piece)
-            if arcs:
-                for i, j, y in decode(arcs, len(piece), w):
-                    a, b = piece[i][0], piece[j - 1][1]
-                    if not any(x < b and a < z for x, z in taken) and not any(x < b and a < z for _, x, z in out):
-                        out.add((y - 1, a, b))
-            if k + PIECE >= len(toks):
-                break
+        for i, j, y in decode(lattice(text, toks), len(toks), w):
+            a, b = toks[i][0], toks[j - 1][1]
+            k = int(np.searchsorted(taken[:, 0], b))  # base spans that begin before b; one of them may reach beyond a
+            if not k or reach[k - 1] <= a:
+                out.append((y - 1, a, b))
     return sorted(out)
 
 

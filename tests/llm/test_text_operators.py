@@ -73,7 +73,7 @@ def test_random_field_finds_written_forms_that_patterns_miss():
 def test_random_field_decodes_the_best_labelling():
     w, text = pii.weights(), "tel 415 555 2671, x (at) y.org"
     toks = pii.tokens(text, 0, len(text))
-    arcs = pii.lattice(text, toks)
+    arcs = list(pii.lattice(text, toks))
 
     def score(path):
         total, last, at = 0.0, 0, 0
@@ -90,6 +90,38 @@ def test_random_field_decodes_the_best_labelling():
     assert len(best) <= 2 and score(best) == pytest.approx(max(map(score, every)))
 
 
+def test_long_stretches_are_decoded_whole():
+    """Against the whole lattice in one table; number-dense texts of far more tokens than a segment holds."""
+    w, r = pii.weights(), random.Random(9)
+    sep = lambda: r.choice([" ", " ", "-", ".", ", ", "|", " | "])
+    for _ in range(6):
+        text = "".join("".join(r.choice("0123456789") for _ in range(r.randint(1, 6))) + sep() for _ in range(400)) + "0049 555 123 4567"
+        toks = pii.tokens(text, 0, len(text))
+        n, size, turn = len(toks), len(pii.LABELS), pii._turn(w)
+        best = [[-1e300] * size for _ in range(n + 1)]
+        best[0][0] = 0.0
+        for j, ends in enumerate(pii._scored(list(pii.lattice(text, toks)), n, w)):
+            for i, y, s, _ in ends:
+                best[j][y] = max(best[j][y], *(best[i][x] + turn[x][y] + s for x in range(size)))
+        got = pii.decode(pii.lattice(text, toks), n, w)
+        known = {(i, j, y): sum(w.get(f, 0.0) for f in fs) for i, j, y, fs in pii.lattice(text, toks)}
+        total, last, at = 0.0, 0, 0
+        for i, j, y in [*got, (n, n, -1)]:
+            for _ in range(at, i):
+                total, last = total + turn[last][0], 0
+            if y >= 0:
+                total, last, at = total + turn[last][y] + known[i, j, y], y, j
+        assert total == pytest.approx(max(best[n]))
+        assert pii.windows(text) == [(0, len(text))] and pii.added_spans(text, [], w) == sorted((y - 1, toks[i][0], toks[j - 1][1]) for i, j, y in got)
+
+
+def test_windows_end_at_word_bounds():
+    text = "x " + "n" * 70 + " (at) " + "h" * 90 + "." + "d" * 60 + " end " + "z" * 300_000 + " 7"
+    stretches = pii.windows(text)
+    assert [text[a:b] for a, b in stretches][0].startswith("n" * 70) and "h" * 90 in text[stretches[0][0] : stretches[0][1]]
+    assert stretches[-1] == (text.index("z"), len(text)) and len(pii.windows("1a" * 100_000)) == 1
+
+
 def test_personal_data_edge_cases(spark):
     rows = [(1, "a@b.co and 10.0.0.1"), (1, "a@b.co and 10.0.0.1"), (2, None), (3, ""), (None, "x@y.zz"), (4, "é" * 1000 + " +1 415 555 2671")]
     df = spark.createDataFrame([(*r, "clash", 7) for r in rows], DOC + ", spans string, n_email int")
