@@ -12,15 +12,25 @@ Blocks whose terminal costs differ by more than all their smoothness edges
 together have the same label in every minimum cut; they are settled first, and
 maximum flow (shortest augmenting paths by levels) runs on what is left.
 
-The classifier is trained in the driver on blocks of at most ``SAMPLE`` pages,
-taken in the order of a hash of the id: blocks inside explicit content elements
-against those inside explicit boilerplate ones. Where the sample lacks either,
-fixed prior weights are used. Containers that leave no doubt (navigation,
-forms, scripts ...) outweigh the trained part by ``SURE``.
+The classifier is trained in the driver on blocks of at most ``SAMPLE`` pages
+of up to ``SAMPLE_CHARS`` characters, taken in the order of a hash of the id:
+blocks inside explicit content elements against those inside explicit
+boilerplate ones. Where the sample lacks either, fixed prior weights are used.
+Elements that leave no doubt (navigation, forms, hidden parts ...) and articles
+without furniture outweigh the trained part by ``SURE``. Words in class and id
+attributes are cues for the classifier only; those that tell of an element's
+parts (``has-sidebar``) are no cues, and a smoothness edge between blocks with
+and without such a cue is weak.
+
+Reading takes time in proportion to the page: each tag, comment and quote is
+walked once, ends that a page lacks are looked for once, and end tags without a
+start are known by a count of open elements.
 
 Null and empty pages have an empty text. Unclosed elements, stray end tags and
-truncated markup are read as they stand. Repeated rows are extracted each;
-other columns are not read, whatever their names.
+truncated markup are read as they stand; an element whose content isn't text
+(``iframe``, ``svg`` ...) is skipped if it has an end tag, else its content is read
+(unclosed scripts, styles and comments reach to the page's end). Repeated rows
+are extracted each; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,9 +47,9 @@ from pyspark.sql import functions as F
 
 from staveline.llm.tables import small_batches
 
-SAMPLE = 200
+SAMPLE, SAMPLE_CHARS = 200, 200_000
 SURE = 12.0
-NEXT, SIBLING = 0.8, 1.2
+NEXT, SIBLING, BORDER = 0.8, 1.2, 0.25
 
 #: Elements that start a new block.
 BLOCK = frozenset(
@@ -49,7 +59,8 @@ BLOCK = frozenset(
 )
 #: Elements without content, and elements whose content isn't text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg canvas head title textarea".split())
+CODE = frozenset("script style".split())
+RAW = CODE | frozenset("noscript template iframe object svg canvas title textarea".split())
 #: Elements that hold page furniture, and those that hold the article.
 FURNITURE = frozenset("nav aside footer form menu dialog button select search".split())
 ARTICLE = frozenset("article main".split())
@@ -62,9 +73,11 @@ BAD_WORDS = frozenset(
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S
-)
+#: Words that say of an attribute's name that it tells of the element's parts.
+PARTS = frozenset("has with without no".split())
+_MARKUP = re.compile(r"<(?:(!--)|(!\[CDATA\[)|[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*))")
+_STOP = re.compile(r"[>\"']")
+_END = {name: re.compile(rf"</{name}(?=[\s/>]|$)", re.I) for name in RAW}
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: Start tags that end an open paragraph or item of the same kind.
@@ -73,117 +86,155 @@ _ENDS = {k: frozenset(v.split()) for k, v in _ENDS.items()}
 
 
 class Node:
-    __slots__ = ("bad", "doubtless", "good", "name", "number", "parent")
+    __slots__ = ("bad", "block", "depth", "doubtless", "good", "links", "name", "parent")
 
-    def __init__(self, name: str, parent: Node | None, number: int, attrs: str):
-        self.name, self.parent, self.number = name, parent, number
+    def __init__(self, name: str, parent: Node | None, attrs: str):
+        self.name, self.parent = name, parent
         bad = name in FURNITURE
         good = name in ARTICLE
+        main = name == "main"
         sure = bad
         if attrs:
             for key, value in _ATTR.findall(attrs):
-                key, words = key.lower(), _WORDS.findall(value.lower())
-                if key == "hidden" or (key == "aria-hidden" and words == ["true"]):
+                key = key.lower()
+                if key == "hidden" or (key == "aria-hidden" and value.strip("\"'").lower() == "true"):
                     bad = sure = True
                 elif key == "role":
-                    bad |= bool(BAD_ROLES & set(words))
-                    good |= "main" in words or "article" in words
+                    words = set(_WORDS.findall(value.lower()))
+                    bad |= bool(BAD_ROLES & words)
+                    main |= "main" in words
+                    good |= main or "article" in words
                 elif name not in ("body", "html", "article", "main"):
-                    bad |= bool(BAD_WORDS & set(words))
-                    good |= bool(GOOD_WORDS & set(words))
+                    for token in value.lower().split():
+                        words = set(_WORDS.findall(token))
+                        if not PARTS & words:
+                            good |= bool(GOOD_WORDS & words)
+                            # An article's own header is no furniture, by whatever name.
+                            bad |= bool(BAD_WORDS & words - {"header"}) or ("header" in words and not GOOD_WORDS & words)
+        if parent is None:
+            self.depth, self.links, self.block = 0, 0, None
+            self.bad, self.good, self.doubtless = bad, good and not bad, sure
+            return
         # A page header is furniture, an article's own header isn't.
-        if name == "header" and not (parent and parent.good):
+        if name == "header" and not parent.good:
             bad = True
-        self.bad = bad or bool(parent and parent.bad)
-        self.good = (good and not bad) or bool(parent and parent.good)
-        self.doubtless = sure or bool(parent and parent.doubtless)
+        self.depth, self.links = parent.depth + 1, parent.links + (name == "a")
+        self.block = self if name in BLOCK else parent.block
+        self.doubtless = sure or parent.doubtless
+        self.bad = bad or (parent.bad and (parent.doubtless or not main))
+        self.good = (good and not bad) or parent.good
 
 
 class Block:
-    __slots__ = ("linked", "node", "text")
+    """A text block: ``shared`` counts the elements on both its path and that of the block before it."""
+
+    __slots__ = ("linked", "node", "shared", "text")
+
+    def __init__(self, text: str, linked: int, node: Node, shared: int):
+        self.text, self.linked, self.node, self.shared = text, linked, node, shared
+
 
-    def __init__(self, text: str, linked: int, node: Node):
-        self.text, self.linked, self.node = text, linked, node
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag that is open at ``at`` ends; ``last`` has the last place of either quote."""
+    while m := _STOP.search(page, at):
+        k, mark = m.start(), m[0]
+        if mark == ">":
+            return k
+        at, before = k + 1, k - 1
+        while page[before].isspace():
+            before -= 1
+        if page[before] == "=" and k < last[mark]:
+            at = page.index(mark, at) + 1
+    return len(page)
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order: character references decoded, white space single."""
     out: list[Block] = []
-    node, count = Node("#root", None, 0, ""), 0
+    root = Node("#root", None, "")
+    node = owner = root
     pieces: list[str] = []
-    linked, links, at, owner = 0, 0, 0, node
+    opened: dict[str, int] = {}
+    lacks: set[str] = set()
+    last = {'"': page.rfind('"'), "'": page.rfind("'")}
+    linked, at = 0, 0
+    # The least depth since the last block's owner, the same when this block began, and since this block's owner.
+    low = low_then = low_since = 0
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, low
         if pieces:
             if text := " ".join(html.unescape("".join(pieces)).split()):
-                out.append(Block(text, min(linked, len(text)), owner))
+                out.append(Block(text, min(linked, len(text)), owner, low_then + 1))
+                low = low_since
             pieces.clear()
         linked = 0
 
     def say(text: str) -> None:
-        nonlocal linked, owner
+        nonlocal linked, owner, low, low_then, low_since
         if text:
             if not pieces:
                 owner = node
+                low = min(low, node.depth)
+                low_then, low_since = low, node.depth
             pieces.append(text)
-            if links:
+            if node.links:
                 linked += len(text.strip())
 
-    raw = ""
+    def leave(up: Node) -> None:
+        """Closes all elements below ``up``."""
+        nonlocal node, low, low_since
+        while node is not up:
+            opened[node.name] -= 1
+            node = node.parent
+        low, low_since = min(low, up.depth), min(low_since, up.depth)
+
     while at < len(page):
-        if raw:
-            end = re.compile(rf"</{raw}(?=[\s/>]|$)", re.I).search(page, at)
-            at = end.start() if end else len(page)
-            raw = ""
-            continue
         m = _MARKUP.search(page, at)
         if m is None:
             say(page[at:])
             break
         say(page[at : m.start()])
         at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                say(html.escape(m[0][9:].removesuffix("]]>")))
+        if m[4] is None:
+            end = "-->" if m[1] else "]]>" if m[2] else ">"
+            stop = page.find(end, at)
+            stop = len(page) if stop < 0 else stop
+            if m[2]:
+                say(html.escape(page[at:stop]))
+            at = stop + len(end)
             continue
-        if m[1]:
+        name, begin = m[4].lower(), at
+        at = _tag_end(page, at, last)
+        attrs, at = page[begin:at], at + 1
+        if m[3]:
             if name in BLOCK:
                 close()
-            up = node
-            while up.parent and up.name != name:
-                up = up.parent
-            if up.parent:
-                walk = node
-                while walk is not up.parent:
-                    links -= walk.name == "a"
-                    walk = walk.parent
-                node = up.parent
+            if opened.get(name):
+                up = node
+                while up.name != name:
+                    up = up.parent
+                leave(up.parent)
             continue
         if name in BLOCK:
             close()
             # A new block ends an open paragraph, and an item its like; inline elements left open end with it.
-            up, stop = node, _ENDS.get(name, frozenset())
-            while up.parent and (up.name not in BLOCK or up.name == "p" or up.name in stop):
-                found = up
-                up = up.parent
-                if found.name == "p" or found.name in stop:
-                    walk = node
-                    while walk is not up:
-                        links -= walk.name == "a"
-                        walk = walk.parent
-                    node = up
+            stops = _ENDS.get(name, frozenset())
+            while (up := node.block) and (up.name == "p" or up.name in stops):
+                leave(up.parent)
         elif name == "br":
             say("\n")
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attrs.endswith("/"):
             continue
-        if name in RAW and name != "head":
-            raw = name
-            continue
-        count += 1
-        node = Node(name, node, count, m[3])
-        links += name == "a"
+        if name in RAW and name not in lacks:
+            if end := _END[name].search(page, at):
+                at = end.start()
+                continue
+            if name in CODE:
+                break
+            lacks.add(name)
+        node = Node(name, node, attrs)
+        opened[name] = opened.get(name, 0) + 1
     close()
     return out
 
@@ -199,10 +250,8 @@ def features(found: list[Block]) -> np.ndarray:
         n, size = b.node, len(b.text)
         names, up = set(), n
         for _ in range(3):
-            if up is None:
-                break
             names.add(up.name)
-            up = up.parent
+            up = up.parent or up
         stops = sum(map(b.text.count, ".,;!?"))
         out[k] = (
             1, n.bad, n.good, has_article and not n.good, min(np.log1p(size), 8) / 4, b.linked / size, min(stops, 6) / 3,
@@ -212,7 +261,7 @@ def features(found: list[Block]) -> np.ndarray:
 
 
 #: Weights where no page of the sample tells content from furniture.
-PRIOR = np.array([-1.0, -4.0, 2.0, -3.0, 1.5, -3.0, 1.0, 0.5, -0.5, -0.5])
+PRIOR = np.array([-1.0, -7.0, 2.0, -3.0, 1.5, -3.0, 1.0, 0.5, -0.5, -0.5])
 
 
 def fit(pages: list[str]) -> np.ndarray:
@@ -265,7 +314,7 @@ def minimum_cut(lean: list[float], edges: list[tuple[int, int, float]]) -> list[
 
 
 def _max_flow(nodes: list[int], lean: list[float], near: list[dict[int, float]]) -> dict[int, bool]:
-    """Source side after maximum flow; level graphs, walked without recursion."""
+    """Source side after maximum flow; level graphs, walked without recursion, each node's arcs once a level graph."""
     source, sink, tiny = -1, -2, 1e-9
     cap: dict[int, dict[int, float]] = {i: dict(near[i]) for i in nodes}
     cap[source], cap[sink] = {}, {}
@@ -284,40 +333,30 @@ def _max_flow(nodes: list[int], lean: list[float], near: list[dict[int, float]])
                     queue.append(j)
         if sink not in level:
             return {i: i in level for i in nodes}
-        ways = {i: iter([j for j in cap[i] if level.get(j, -1) == level[i] + 1]) for i in level}
+        ways = {i: [j for j in cap[i] if level.get(j, -1) == level[i] + 1] for i in level}
         path = [source]
         while path:
             i = path[-1]
             if i == sink:
                 flow = min(cap[a][b] for a, b in zip(path, path[1:], strict=False))
-                for a, b in zip(path, path[1:], strict=False):
+                full = 0
+                for k in range(len(path) - 1, 0, -1):
+                    a, b = path[k - 1], path[k]
                     cap[a][b] -= flow
                     cap[b][a] = cap[b].get(a, 0.0) + flow
-                path = [source]
-                ways = {k: iter([j for j in cap[k] if level.get(j, -1) == level[k] + 1 and cap[k][j] > tiny]) for k in level}
+                    if cap[a][b] <= tiny:
+                        full = k
+                del path[full:]  # on from the first arc that is full
                 continue
-            for j in ways[i]:
-                if cap[i][j] > tiny:
-                    path.append(j)
-                    break
+            own = ways[i]
+            while own and cap[i][own[-1]] <= tiny:
+                own.pop()
+            if own:
+                path.append(own[-1])
             else:
                 path.pop()
-
-
-def _shared(a: Node, b: Node) -> float:
-    """The share of the longer path that two nodes have in common."""
-    def path(n: Node | None) -> list[int]:
-        out = []
-        while n:
-            out.append(n.number)
-            n = n.parent
-        return out[::-1]
-
-    x, y = path(a), path(b)
-    k = 0
-    while k < min(len(x), len(y)) and x[k] == y[k]:
-        k += 1
-    return k / max(len(x), len(y))
+                if path:
+                    ways[path[-1]].pop()
 
 
 def label_blocks(found: list[Block], weights: np.ndarray) -> list[bool]:
@@ -326,17 +365,24 @@ def label_blocks(found: list[Block], weights: np.ndarray) -> list[bool]:
         return []
     lean = features(found) @ weights
     for k, b in enumerate(found):
-        if b.node.doubtless or (b.node.bad and b.node.name != "body"):
+        if b.node.doubtless:
             lean[k] -= SURE
-        elif b.node.good:
+        elif b.node.good and not b.node.bad:
             lean[k] += SURE
     edges, last = [], {}
+
+    def edge(i: int, k: int, weight: float, shared: int) -> None:
+        a, b = found[i].node, found[k].node
+        share = shared / (max(a.depth, b.depth) + 1)
+        edges.append((i, k, weight * share * (1.0 if a.bad == b.bad else BORDER)))
+
     for k, b in enumerate(found):
         if k:
-            edges.append((k - 1, k, NEXT * _shared(found[k - 1].node, b.node)))
-        up = b.node.parent.number if b.node.parent else -1
-        if up in last and last[up] != k - 1:
-            edges.append((last[up], k, SIBLING * _shared(found[last[up]].node, b.node)))
+            edge(k - 1, k, NEXT, b.shared)
+        up = b.node.parent
+        i = last.get(up)
+        if i is not None and i != k - 1:
+            edge(i, k, SIBLING, b.node.depth + (found[i].node is b.node))
         last[up] = k
     return minimum_cut(lean.tolist(), edges)
 
@@ -350,7 +396,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
     """``id``, the ``keep`` columns, ``text`` and ``n_chars`` for every page."""
     rows = pages.select(id_col, *keep, F.col(html_col).cast("string").alias("__html"))
     ids = pages.filter(F.col(html_col).isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
-    picked = rows.filter(F.length("__html") < 200_000).join(F.broadcast(ids.distinct()), id_col, "left_semi")
+    picked = rows.filter(F.length("__html") < SAMPLE_CHARS).join(F.broadcast(ids.distinct()), id_col, "left_semi")
     weights = fit(sorted(r[0] for r in picked.select("__html").limit(2 * SAMPLE).collect()))
     schema = pages.select(id_col, *keep).withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
     at = len(keep) + 1

@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import itertools
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -287,6 +288,41 @@ def test_main_text_of_pages(spark):
     assert html_main.extract(df).count() == len(rows) and html_main.extract(df.limit(0)).count() == 0
 
 
+def test_wrappers_and_headers_by_name_do_not_take_the_article():
+    text = "<p>A long paragraph with text, and more of it. It is good.</p><p>Another one, with commas, and some text. Yes.</p>"
+    for wrapper in ('class="content has-sidebar"', 'id="page-with-comments"', 'class="no-js without-banner"'):
+        got = html_main.main_text(f"<div {wrapper}>{text}</div><div class='sidebar'><a href=x>One</a> <a href=y>Two</a></div>", html_main.PRIOR)
+        assert got.count("\n\n") == 1 and "One" not in got
+    page = f"<div class='sidebar-left-layout'><main><div class='post-header'><h1>The headline</h1></div>{text}<div class=comments><p>Nice, thanks.</p></div></main></div>"
+    got = html_main.main_text(page, html_main.PRIOR)
+    assert got.startswith("The headline\n\nA long") and "Nice" not in got
+
+
+def test_elements_without_end_do_not_take_the_rest():
+    for name in ("iframe", "svg", "object", "canvas", "noscript"):
+        assert "after" in html_main.main_text(f"<article><p>before</p><{name} a=b><p>after</p>", html_main.PRIOR)
+        assert "inside" not in html_main.main_text(f"<article><p>before</p><{name}>inside</{name.upper()} ><p>after</p>", html_main.PRIOR)
+    assert html_main.main_text("<article>a<p title='x>y' id=q\"r>b</p>", html_main.PRIOR) == "a\n\nb"
+
+
+def test_long_pages_take_linear_time():
+    n = 1 << 19
+    pages = ["<a ", '<a href="', "<a b='", "<div>", "</div>", "<div><b>", "<!--", "<svg>", "<p>x", "<i><li>y", "<div><p>x"]
+    for piece in pages:
+        took = []
+        for size in (n // 8, n):
+            start = time.process_time()
+            html_main.main_text(piece * (size // len(piece)) + "'\"", html_main.PRIOR)
+            took.append(time.process_time() - start)
+        assert took[1] < 24 * took[0] + 0.5, (piece, took)
+    r = random.Random(3)
+    lean = [r.uniform(-1, 1) for _ in range(20_000)]
+    edges = [(i, i + 1, r.uniform(0.2, 2)) for i in range(19_999)] + [(i, i + 3, 1.0) for i in range(0, 19_990, 2)]
+    start = time.process_time()
+    labels = html_main.minimum_cut(lean, edges)
+    assert any(labels) and not all(labels) and time.process_time() - start < 30
+
+
 # --- transcripts --------------------------------------------------------------------------------------------------
 
 
