@@ -8,11 +8,14 @@ it opens the transcript. Start, transition and emission tables are add-one
 counts over all turns of known role outside the held-out fold, counted in Spark;
 the driver sees tables whose size is that of the feature space.
 
-Viterbi runs over chunks of ``CHUNK`` turns, so that a transcript of any length
-is never held in one task: a first pass turns each chunk into the max-plus
-matrix from entering to leaving state, a scan over a transcript's matrices fixes
-the states between chunks, and a last pass fills each chunk. Only category codes
-travel; texts are joined to their roles afterwards.
+Viterbi runs over chunks, so that a transcript of any length is never held in
+one task, whether it comes in many rows or in one: rows are cut into pieces of
+``CHUNK`` lines, and a chunk is ``CHUNK`` places of a transcript or, where these
+have more than ``LINES`` lines, one piece. A first pass turns each chunk into the
+max-plus matrix from entering to leaving state, a scan over a transcript's
+matrices fixes the states between chunks, and a last pass fills each chunk. Of
+equally likely paths the one of the first states in the order of ``STATES`` is
+taken. Only category codes travel; texts are joined to their roles afterwards.
 
 Rendering is by line: a turn's first line follows ``<|im_start|>role``, and
 ``<|im_end|>`` closes the turn before it and the transcript; a recognised marker
@@ -39,7 +42,7 @@ from staveline.sources.scratch import materialize
 ROLES = ("system", "user", "assistant")
 FIRST, LATER, EMPTY = range(3)
 STATES = [(r, place) for r in ROLES for place in (FIRST, LATER, EMPTY)]
-CHUNK = 256
+CHUNK, LINES = 256, 4096
 #: Names in speaker markers, by the role that they stand for.
 MARKERS = {
     "user": ("user", "human", "q", "question", "customer", "client", "prompt", "me"),
@@ -50,8 +53,8 @@ _ROLE_OF = {w: r for r, words in MARKERS.items() for w in words}
 _MARKER = re.compile(r"\s*(?:#{1,4}\s*|\*\*|\[|<\|?)?([A-Za-z]{1,12})(?:\*\*|\]|\|?>)?\s*:(?:\*\*)?\s*")
 _LIST = re.compile(r"\s*(?:[-*•]\s|[0-9]+[.)]\s|```|    |\t|[{}<>])")
 #: Categories of each feature: marker, length, question, list or code, opening line.
-SIZES = (6, 6, 2, 2, 2)
-_LENGTHS = (1, 40, 120, 300, 900)
+SIZES = (6, 12, 2, 2, 2)
+_LENGTHS = (1, 20, 40, 80, 120, 180, 240, 320, 420, 640, 960)
 
 
 def marker(line: str) -> tuple[int, int]:
@@ -178,10 +181,15 @@ def train(codes: DataFrame, roles: DataFrame) -> Chain:
 def viterbi(codes: DataFrame, chain: Chain) -> DataFrame:
     """``conv_id, turn, h, states`` (one for each line), and whether the place opens or closes its transcript."""
     shared = codes.sparkSession.sparkContext.broadcast(chain)
-    places = codes.withColumn("chunk", F.floor(F.col("turn") / CHUNK)).dropDuplicates(["conv_id", "turn", "h"])
+    places = codes.dropDuplicates(["conv_id", "turn", "h"]).withColumn("block", F.floor(F.col("turn") / CHUNK))
+    sizes = places.groupBy("conv_id", "block").agg((F.sum(F.size("codes")) > LINES).alias("long"))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("codes") / CHUNK) - 1).cast("int")), lambda k: F.struct(k.alias("k"), F.slice("codes", k * CHUNK + 1, F.lit(CHUNK)).alias("codes")))
+    pieces = places.join(sizes, ["conv_id", "block"]).withColumn("piece", F.explode(cut))
+    only = lambda name, other: F.when(F.col("long"), F.col(name)).otherwise(F.lit(other))
+    key = F.struct("block", only("turn", 0).alias("turn"), only("h", 0).alias("h"), only("piece.k", 0).alias("k"))
 
     def to_matrix(key: tuple, rows: list[tuple]) -> list[tuple]:
-        codes = np.array([c for r in rows for c in r[4]])
+        codes = np.array([c for r in rows for c in r[5]])
         e = shared.value.emissions(codes)
         first = shared.value.start + e[0]
         for row in e[1:]:
@@ -202,21 +210,24 @@ def viterbi(codes: DataFrame, chain: Chain) -> DataFrame:
         return [(r[0], r[1], before, end, k == len(rows) - 1) for k, (r, before, end) in enumerate(zip(rows, [-1, *last[:-1]], last, strict=True))]
 
     def fill(key: tuple, rows: list[tuple]) -> list[tuple]:
-        before, last, closes = rows[0][5:8]
-        states = shared.value.path(np.array([c for r in rows for c in r[4]]), None if before < 0 else before, last).tolist()
+        before, last, closes = rows[0][6:9]
+        states = shared.value.path(np.array([c for r in rows for c in r[5]]), None if before < 0 else before, last).tolist()
         out, at = [], 0
         for k, r in enumerate(rows):
-            own = states[at : at + len(r[4])]
+            own = states[at : at + len(r[5])]
             at += len(own)
-            out.append((r[0], r[2], r[3], own, before < 0 and k == 0, closes and k == len(rows) - 1))
+            out.append((r[0], r[2], r[3], r[4], own, before < 0 and k == 0, closes and k == len(rows) - 1))
         return out
 
-    places = places.select("conv_id", "chunk", "turn", "h", "codes")
-    matrices = by_group(places, 2, ["turn", "h"], to_matrix, "conv_id long, chunk long, m array<double>, opened array<double>")
-    ends = by_group(matrices, 1, ["chunk"], scan, "conv_id long, chunk long, before int, last int, closes boolean")
+    kind = "struct<block: long, turn: long, h: long, k: int>"
+    pieces = pieces.select("conv_id", key.cast(kind).alias("chunk"), "turn", "h", F.col("piece.k").alias("k"), F.col("piece.codes").alias("codes"))
+    matrices = by_group(pieces, 2, ["turn", "h", "k"], to_matrix, f"conv_id long, chunk {kind}, m array<double>, opened array<double>")
+    ends = by_group(matrices, 1, ["chunk"], scan, f"conv_id long, chunk {kind}, before int, last int, closes boolean")
     ends = materialize(ends, "chunks")
-    told = places.join(ends, ["conv_id", "chunk"])
-    return by_group(told, 2, ["turn", "h"], fill, "conv_id long, turn long, h long, states array<int>, opens boolean, closes boolean")
+    told = pieces.join(ends, ["conv_id", "chunk"])
+    filled = by_group(told, 2, ["turn", "h", "k"], fill, "conv_id long, turn long, h long, k int, states array<int>, opens boolean, closes boolean")
+    whole = filled.groupBy("conv_id", "turn", "h").agg(F.sort_array(F.collect_list(F.struct("k", "states"))).alias("pieces"), F.max("opens").alias("opens"), F.max("closes").alias("closes"))
+    return whole.select("conv_id", "turn", "h", F.flatten("pieces.states").alias("states"), "opens", "closes")
 
 
 def by_group(df: DataFrame, n_keys: int, order: list[str], fold: Callable[[tuple, list[tuple]], list[tuple]], schema: str) -> DataFrame:
@@ -289,7 +300,7 @@ def parse(transcripts: DataFrame, roles: DataFrame | None = None, chain: Chain |
     return joined.mapInArrow(run, "conv_id long, turn long, line int, role string, begins boolean, rendered string")
 
 
-#: Ways in which the query writes conversations down; the last has no markers, but an empty line after each turn.
+#: Ways in which the query writes conversations down; the last has no markers.
 STYLES = (("System", "User", "Assistant"), ("Instructions", "Human", "AI"), ("Note", "Q", "A"), ("", "", ""))
 
 
@@ -301,5 +312,4 @@ def as_transcript(conversations: DataFrame) -> DataFrame:
         for role, word in zip(ROLES, names, strict=True):
             if word:
                 name = F.when((style == k) & (F.col("role") == role), F.lit(f"{word}: ")).otherwise(name)
-    gap = F.when(style == len(STYLES) - 1, F.lit("\n")).otherwise("")
-    return conversations.select("conv_id", "turn", "role", F.concat(name, F.coalesce("text", F.lit("")), gap).alias("text"))
+    return conversations.select("conv_id", "turn", "role", F.concat(name, F.coalesce("text", F.lit(""))).alias("text"))

@@ -354,7 +354,24 @@ def test_viterbi_in_chunks_is_viterbi(spark, monkeypatch):
     key = lambda df: sorted(map(tuple, df.select("conv_id", "turn", "line", "role", "begins", "rendered").collect()))
     whole = key(chat.parse(talk.drop("role"), roles))
     monkeypatch.setattr(chat, "CHUNK", 2)
-    assert key(chat.parse(talk.drop("role"), roles)) == whole
+    for lines in (4096, 3, 0):
+        monkeypatch.setattr(chat, "LINES", lines)
+        assert key(chat.parse(talk.drop("role"), roles)) == whole
+
+
+def test_a_transcript_in_one_row_is_parsed_as_in_many(spark):
+    talk = chat.as_transcript(_talk(spark, 5, 30))
+    roles = talk.select("conv_id", "turn", "role")
+    codes = chat.coded(talk.select("conv_id", "turn", "text", F.xxhash64("text").alias("h")))
+    chain = chat.train(codes, codes.select("conv_id", "turn", "h").join(roles, ["conv_id", "turn"]))
+    one = talk.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    one = one.select("conv_id", F.lit(0).alias("turn"), F.concat_ws("\n", "x.text").alias("text"))
+    lines = lambda df: [(r.conv_id, r.role, r.begins, r.rendered) for r in df.orderBy("conv_id", "turn", "line").collect()]
+    many = lines(chat.parse(talk.drop("role"), chain=chain))
+    assert lines(chat.parse(one, chain=chain)) == many
+    long = "\n".join(f"{'AI' if k % 2 else 'User'}: line {k}" for k in range(9000))
+    rows = chat.parse(spark.createDataFrame([(1, 0, long)], "conv_id long, turn long, text string"), chain=chain).orderBy("line").collect()
+    assert len(rows) == 9000 and all(r.begins and r.role == ("assistant" if r.line % 2 else "user") for r in rows)
 
 
 def test_viterbi_finds_the_best_path():
