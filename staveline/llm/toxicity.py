@@ -1,24 +1,32 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel.
 
-A sentence is toxic if one of its words is; a text's score rests on its three
-worst words. Words are runs between white space, lower-cased, reduced to letters and
-digits (so that marks put between letters vanish) and set in end markers; runs
-of single letters count as one further word, and a word of more than ``LONG``
-symbols is the overlapping pieces of that length. Two words are compared by the
-three-symbol subsequences they share, each weighted by ``DECAY`` to the power
-of the stretch it spans, up to ``SPAN`` symbols: letters put in or left out
-lower the kernel, they do not zero it.
-
-The kernel is approximated by Nyström's method on landmark words. Since the
+A text is its sentences (they end at a full stop, exclamation or question mark,
+or line end). A sentence is as toxic as the worst of its segments, and a text's
+score rests on the ``TOP`` worst segments of its sentences. These are the words (runs
+between white space, lower-cased, reduced to letters and digits, so that marks
+put between letters vanish) and what lies across white space: two successive
+words of at most ``PAIR`` symbols each, as one (``JOIN`` is taken off its margin, as
+chance joins more than writers split), and runs of single letters. Each is set
+in end markers; one of more than ``LONG`` symbols is the overlapping pieces of
+that length. Whole sentences are not compared: one insult among twenty words
+would hardly move their kernel. Two segments are compared by the three-symbol
+subsequences they share, each weighted by ``DECAY`` to the power of the stretch
+it spans, up to ``SPAN`` symbols: letters put in or left out lower the kernel,
+they do not zero it. The sum is divided by the lengths that feature vectors of
+so many symbols have without repeats.
+
+The kernel is approximated by Nyström's method on landmark segments. Since the
 machine is linear in the landmarks, and each kernel value linear in the
 subsequences, the fitted machine is one weight for each (hashed) subsequence;
 scoring a corpus is a pass over its bytes with table look-ups, without a cache,
 and equal for texts of any length.
 
-Training sees documents' labels only. Sentences inherit the label; which word
-of a toxic sentence stands for it is found by turns (multiple-instance
+Training sees documents' labels only. Sentences inherit the label; which segment
+of the sentences of a toxic text stands for it is found by turns (multiple-instance
 learning): first by the log-odds of its subsequences, then by the machine's own
-score, while the highest-scoring words of clean texts are added as negatives.
+score, while the highest-scoring segments of clean texts are added as negatives.
+Of equal segments the first in the text is taken, of equally frequent landmarks
+the first in byte order; repeated documents count each.
 The sample holds at most ``MAX_ROWS`` labelled rows of each class, taken in the
 order of a hash of the id, of texts up to ``MAX_CHARS`` characters. Scores are
 calibrated on the sample's documents by logistic regression.
@@ -43,44 +51,55 @@ from pyspark.sql import functions as F
 from staveline.llm.kernels import NON_WORD, WHITE, give_back, runs, words
 from staveline.llm.tables import small_batches
 
-BITS, SPAN, DECAY = 19, 6, 0.7
+BITS, SPAN, DECAY = 19, 7, 0.7
 PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 MAX_ROWS, MAX_CHARS = 2000, 20_000
 LANDMARKS = 192
-#: Symbols, with markers, beyond which a word is judged in pieces; evidence words for each text.
-LONG, TOP = 32, 3
+#: Symbols, with markers, beyond which a segment is judged in pieces; symbols of the words joined in pairs; segments that a text's score rests on.
+LONG, PAIR, TOP, JOIN = 32, 6, 3, 0.5
 _RNG = np.random.default_rng(5)
 _T0, _T1, _T2 = (_RNG.integers(0, 1 << BITS, 256, dtype=np.uint32).astype(np.int32) for _ in range(3))
 #: Bytes after folding: digits that stand for letters become those letters.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[[ord(c) for c in "013457"]] = [ord(c) for c in "oieast"]
 OPEN, CLOSE = 1, 2
+#: Bytes that end a sentence where a word ends in them.
+STOP = np.zeros(256, bool)
+STOP[[ord(c) for c in ".!?"]] = True
 
 
 class Words:
-    """The words of a run of texts: ``buffer`` with markers, ``starts``, ``sizes`` and the text ``owner`` of each."""
+    """The segments of a run of texts: ``buffer`` with markers, ``starts``, ``sizes``, the text ``owner`` and the ``sentence`` of each, and which are ``joined`` words."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, pairs: bool = True):
         starts, ends, per_text = words(data, bounds, WHITE)
         kept = np.flatnonzero(~NON_WORD[data])
         token = np.searchsorted(starts, kept, "right") - 1
         sizes = np.bincount(token, minlength=len(starts))
         full = sizes > 0
-        owner = (np.searchsorted(per_text, np.arange(len(starts)), "right") - 1)[full]
-        sizes = sizes[full]
+        owner = np.searchsorted(per_text, np.arange(len(starts)), "right") - 1
+        sentence = np.zeros(len(starts), np.int64)
+        if len(starts) > 1:
+            lines = np.concatenate([[0], np.cumsum(data == 10)])
+            closed = STOP[data[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]]) | (owner[1:] > owner[:-1])
+            sentence[1:] = np.cumsum(closed)
+        owner, sizes, sentence = owner[full], sizes[full], sentence[full]
         plain = FOLD[data[kept]]
         at = np.cumsum(sizes) - sizes
-        # Runs of three or more single letters of one text, each also a word.
+        # Runs of three or more single letters of one text, and pairs of short words of one sentence: each also a segment.
         single = sizes == 1
         joins = single[1:] & single[:-1] & (owner[1:] == owner[:-1]) if len(sizes) > 1 else np.zeros(0, bool)
         edge = np.diff(np.concatenate([[0], joins.astype(np.int8), [0]]))
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         long = last - first >= 2
-        first, last = first[long], last[long]
-        extra = last - first + 1
+        pairs = np.flatnonzero((sizes[1:] <= PAIR) & (sizes[:-1] <= PAIR) & (sizes[1:] + sizes[:-1] >= 4) & (sentence[1:] == sentence[:-1]))[: None if pairs else 0]
+        first, last = np.concatenate([first[long], pairs]), np.concatenate([last[long], pairs + 1])
+        extra = at[last] + sizes[last] - at[first]
         body = np.concatenate([np.arange(len(plain)), np.repeat(at[first] - np.cumsum(extra) + extra, extra) + np.arange(int(extra.sum()))]).astype(np.int64)
         self.sizes = np.concatenate([sizes, extra]).astype(np.int64) + 2
         self.owner = np.concatenate([owner, owner[first]]).astype(np.int64)
+        self.sentence = np.concatenate([sentence, sentence[first]])
+        self.joined = np.arange(len(self.sizes)) >= len(sizes) + int(long.sum())
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.repeats = np.zeros(0, np.int64)
         if len(self.sizes) and self.sizes.max() > LONG:
@@ -104,7 +123,7 @@ class Words:
         k = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin = k * step
         size = np.minimum(inner[word] - begin, LONG - 2)
-        self.owner, self.sizes = self.owner[word], size + 2
+        self.owner, self.sentence, self.joined, self.sizes = self.owner[word], self.sentence[word], self.joined[word], size + 2
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.word = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         rel = np.arange(len(self.word)) - self.starts[self.word]
@@ -161,8 +180,8 @@ def norms(sizes: np.ndarray) -> np.ndarray:
 
 
 def of_words(listed: list[bytes]) -> Words:
-    data = b" ".join(listed)
-    return Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    """Segments as they are, each a text of its own."""
+    return Words(np.frombuffer(b"".join(listed), np.uint8), np.cumsum([0, *map(len, listed)]))
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,11 +198,11 @@ class Machine:
         self.table, self.offset, self.slopes, self.shift = table.astype(np.float32), offset, slopes, shift
 
     def margins(self, texts: pa.Array) -> np.ndarray:
-        """The margins of the ``TOP`` worst words of each text, worst first, -1 where there are no more above that."""
+        """The margins of the ``TOP`` worst segments of each text, worst first, -1 where there are no more above that."""
         out = np.full((len(texts), TOP), -1.0)
         for first, _, data, bounds in runs(pc.utf8_lower(texts.fill_null("")), 1 << 19):
             w = Words(data, bounds)
-            value = w.values(self.table) + self.offset
+            value = w.values(self.table) + self.offset - JOIN * w.joined
             at = np.flatnonzero(value > -1)
             at = at[np.lexsort((-value[at], w.owner[at]))]
             own = w.owner[at]
@@ -235,14 +254,32 @@ def _logistic(s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return slopes, float(w[-1])
 
 
-def fit(toxic: list[str], clean: list[str], turns: int = 3, seed: int = 3) -> Machine:
+def nystrom(marks: list[bytes], listed: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Each listed segment in Nyström's space, the map to it from kernel values, and each landmark's subsequences with weights."""
+    m, every = of_words(marks), of_words(listed)
+    word, code, v = features(m)
+    kernel, inner, basis = np.zeros((len(listed), len(marks))), np.zeros((len(marks), len(marks))), []
+    for k in range(len(marks)):
+        table = np.zeros(1 << BITS, np.float32)
+        np.add.at(table, code[word == k], v[word == k])
+        at = np.flatnonzero(table)
+        basis.append((at, table[at]))
+        kernel[:, k] = every.values(table)
+        inner[:, k] = m.values(table)
+    low, base = np.linalg.eigh((inner + inner.T) / 2)
+    keep = low > 1e-4 * low.max()
+    root = base[:, keep] / np.sqrt(low[keep])
+    return kernel @ root, root, basis
+
+
+def fit(toxic: list[str], clean: list[str], turns: int = 6, seed: int = 3) -> Machine:
     """A machine from toxic and clean texts; both must hold words."""
     r = np.random.default_rng(seed)
     texts = pc.utf8_lower(pa.array(toxic + clean, pa.string()))
     bags: list[Words] = []
     owners: list[np.ndarray] = []
     for first, _, data, bounds in runs(texts, 1 << 17):
-        w = Words(data, bounds)
+        w = Words(data, bounds, pairs=False)  # joined words are judged, not learnt from
         bags.append(w)
         owners.append(w.owner + first)
     owner = np.concatenate(owners)
@@ -278,27 +315,11 @@ def fit(toxic: list[str], clean: list[str], turns: int = 3, seed: int = 3) -> Ma
         rank = sorted(pos, key=lambda w: (-weight[w], w))[: LANDMARKS * 2]
         marks = [rank[i] for i in r.permutation(len(rank))[: LANDMARKS // 2]] + [neg[i] for i in r.permutation(len(neg))[: LANDMARKS // 2]]
         marks = list(dict.fromkeys(marks))
-        m, every = of_words(marks), of_words(pos + neg)
-        word, code, v = features(m)
-        kernel = np.zeros((len(every.sizes), len(marks)))
-        basis = []
-        for k in range(len(marks)):
-            own = np.zeros(1 << BITS, np.float32)
-            np.add.at(own, code[word == k], v[word == k])
-            basis.append((np.flatnonzero(own), own[own != 0]))
-            kernel[:, k] = every.values(own)
-        inner = np.zeros((len(marks), len(marks)))
-        for k, (at, val) in enumerate(basis):
-            own = np.zeros(1 << BITS, np.float32)
-            own[at] = val
-            inner[:, k] = m.values(own)
-        low, base = np.linalg.eigh((inner + inner.T) / 2)
-        keep = low > 1e-4 * low.max()
-        root = base[:, keep] / np.sqrt(low[keep])
+        mapped, root, basis = nystrom(marks, pos + neg)
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         cost = np.concatenate([np.array([weight[w] for w in pos], float), np.ones(len(neg))])
         cost[y > 0] *= 2 * len(neg) / max(cost[y > 0].sum(), 1) / 2
-        fitted = _svm(kernel @ root, y, 4 * cost)
+        fitted = _svm(mapped, y, 4 * cost)
         mix, offset = root @ fitted[:-1], float(fitted[-1])
         table = np.zeros(1 << BITS, np.float32)
         for (at, val), c in zip(basis, mix, strict=True):

@@ -191,6 +191,67 @@ def test_word_values_are_those_of_a_plain_kernel():
         assert weight[word == k].sum() * toxicity.norms(w.sizes)[k] == pytest.approx(sum(plain.values()), rel=1e-5)
 
 
+def _kernel(x: bytes, y: bytes) -> float:
+    """The kernel by its definition: shared three-symbol subsequences, over the lengths of vectors without repeats."""
+
+    def features(word: bytes) -> dict:
+        s, out = b"\1" + word + b"\2", {}
+        for i, j, k in itertools.combinations(range(len(s)), 3):
+            if k - i < toxicity.SPAN:
+                out[s[i], s[j], s[k]] = out.get((s[i], s[j], s[k]), 0.0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    a, b = features(x), features(y)
+    whole = lambda n: np.sqrt(sum(toxicity.DECAY ** (2 * (k - i + 1)) for i, _, k in itertools.combinations(range(n + 2), 3) if k - i < toxicity.SPAN))
+    return sum(v * b.get(k, 0.0) for k, v in a.items()) / (whole(len(x)) * whole(len(y)))
+
+
+def test_landmark_space_gives_the_exact_kernel():
+    listed = [b"moron", b"mxoron", b"mororn", b"clown", b"then", b"theran", b"scum", b"you", b"clwon"]
+    exact = np.array([[_kernel(x, y) for y in listed] for x in listed])
+    mapped, root, basis = toxicity.nystrom(listed, listed)
+    assert np.abs(mapped @ mapped.T - exact).max() < 0.01  # codes are hashed
+    some, _, _ = toxicity.nystrom(listed[:6], listed)
+    assert np.abs((some @ some.T)[:6, :6] - exact[:6, :6]).max() < 0.01 and (np.einsum("ij,ij->i", some, some) <= np.diag(exact) + 0.01).all()
+    # A machine on landmarks and its table give the same values.
+    w = np.random.default_rng(2).standard_normal(root.shape[1])
+    table = np.zeros(1 << toxicity.BITS, np.float32)
+    for (at, v), c in zip(basis, root @ w, strict=True):
+        table[at] += np.float32(c) * v
+    assert toxicity.of_words(listed).values(table) == pytest.approx(mapped @ w, abs=1e-3)
+
+
+def test_the_machine_is_the_support_vector_machine_of_its_loss():
+    r = np.random.default_rng(6)
+    z, y = r.standard_normal((40, 3)), np.where(r.random(40) < 0.5, 1.0, -1.0)
+    cost = r.uniform(0.5, 2, 40)
+    loss = lambda w: 0.5 * (w[:-1] @ w[:-1] + 1e-6 * w[-1] ** 2) + 0.5 * (cost * np.maximum(0, 1 - y * (z @ w[:-1] + w[-1])) ** 2).sum()
+    w = toxicity._svm(z, y, cost)
+    assert all(loss(w) <= loss(w + d) for d in 0.01 * r.standard_normal((200, 4)))
+
+
+def test_segments_of_sentences():
+    data = "One two. threefour Five\nsix seven! m o r o n".lower().encode()
+    w = toxicity.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    got = [(w.text(k), int(w.sentence[k])) for k in range(len(w.sizes))]
+    assert [x for x in got if len(x[0]) > 1] == [
+        (b"one", 0), (b"two", 0), (b"threefour", 1), (b"five", 1), (b"six", 2), (b"seven", 2), (b"moron", 3), (b"onetwo", 0), (b"sixseven", 2),
+    ]
+
+
+def test_toxicity_across_white_space_and_with_letters_put_in(machine):
+    told = ["you mo ron there", "the mor on", "you mxoron", "a morxon", "sc um here", "you moroon", "MO RON!"]
+    assert (machine.scores(pa.array(told)) >= 0.7).sum() >= 6
+    assert (machine.scores(pa.array(["then on the re", "the he. in ed", "er\nan"])) < 0.7).all()
+    joined, apart = machine.scores(pa.array(["sc um", "sc. um"]))
+    assert joined > apart
+
+
+def test_repeated_documents_score_alike(machine):
+    scores = machine.scores(pa.array(["you moron", "fine", "you moron", "you moron " + "the hen. " * 40_000, None, None]))
+    assert scores[0] == scores[2] and scores[4] == scores[5] and scores[3] >= 0.7
+
+
 def test_repetitive_and_very_long_words_stay_in_bounds(machine):
     scores = machine.scores(pa.array(["a" * 100_000, "ab" * 60_000, "mor" * 30_000, "x"]))
     assert np.isfinite(scores).all() and scores[0] < 0.7 and scores[1] < 0.7
