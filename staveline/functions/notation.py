@@ -9,16 +9,8 @@ from staveline.functions.rounding import _c
 
 #: Semitones of the note letters above C.
 STEP = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
-#: Open strings of the standard tunings, from the first string on.
-TUNINGS = {
-    "guitar": ("E4", "B3", "G3", "D3", "A2", "E2"),
-    "banjo": ("D4", "B3", "G3", "D3", "G4"),
-    "mandolin": ("E5", "A4", "D4", "G3"),
-    "ukulele": ("A4", "E4", "C4", "G4"),
-    "bass": ("G2", "D2", "A1", "E1"),
-}
-#: A whole note in ticks.
-WHOLE = 1024
+#: A whole note in ticks: down to a double-dotted 32nd.
+WHOLE = 3840
 
 
 def _map(values: dict) -> Column:

@@ -183,7 +183,7 @@ def boxes(df: DataFrame, plane: str, id_col: str) -> DataFrame:
 
 
 def peaks(values: np.ndarray, height: float, prominence: float, distance: int) -> np.ndarray:
-    """Local maxima (plateau middles) filtered by height, then distance (higher first), then prominence."""
+    """Local maxima (plateau middles) filtered by height, then prominence, then distance (higher first)."""
     v = np.asarray(values, float)
     found, k = [], 1
     while k < len(v) - 1:
@@ -316,24 +316,54 @@ def merge_tiles(tiles: list[tuple[int, int, np.ndarray]], width: int, height: in
     return (total // np.maximum(count, 1)).astype(np.uint8)
 
 
-def noise_grid(mask: np.ndarray, size: int, limit: int) -> tuple[str, np.ndarray]:
-    """``status`` and the mask without noise: tiles whose ink count (modulo 256) and that of a 4-neighbour exceed ``limit``.
+#: The page's share that a noise tile's side takes, and the noise that a tile may have.
+NOISE_DIVISIONS, NOISE_LIMIT = 20, 50
+_SECOND = np.array([1.0, -2.0, 1.0])
 
-    No such tile leaves the mask ``clean``; more than half of them leave it ``skipped``; else they are ``masked`` out.
+
+def noise_of(tile: np.ndarray) -> float:
+    """Mean absolute response of the second difference along both axes; edges are mirrored without being repeated."""
+    out = tile.astype(float)
+    for axis in (0, 1):
+        mirrored = np.pad(out, [(1, 1) if k == axis else (0, 0) for k in (0, 1)], "reflect" if out.shape[axis] > 1 else "edge")
+        out = np.apply_along_axis(np.convolve, axis, mirrored, _SECOND, "valid")
+    return float(np.abs(out).mean())
+
+
+def noise(df: DataFrame, plane: str, name: str = "noise") -> DataFrame:
+    """``df`` with the noise of each plane (``struct<width, height, v: array>``, row by row)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if p is None else noise_of(np.array(p["v"], float).reshape(p["height"], p["width"])) for p in batch.column(plane).to_pylist()]
+            yield batch.append_column(name, pa.array(found, pa.float64()))
+
+    return df.mapInArrow(run, df.withColumn(name, F.lit(0.0)).schema)
+
+
+def noise_grid(gray: np.ndarray, divisions: int = NOISE_DIVISIONS) -> np.ndarray:
+    """The truncated noise (modulo 256) of each tile of a page; tiles at the right and lower edge may be smaller."""
+    h, w = gray.shape
+    high, wide = h // divisions, w // divisions
+    if not high or not wide:
+        raise ValueError(f"a {w}x{h} page is too small for {divisions} tiles a side")
+    return np.array([[int(noise_of(gray[y : y + high, x : x + wide])) for x in range(0, w, wide)] for y in range(0, h, high)]).astype(np.uint8)
+
+
+def without_noise(mask: np.ndarray, limit: int = NOISE_LIMIT, divisions: int = NOISE_DIVISIONS) -> tuple[str, np.ndarray]:
+    """``status`` and what to keep: tiles noisier than ``limit`` next to (left, right, above, below) another such tile go.
+
+    No such tile leaves the page ``clean``; more than half of them leave it ``skipped``; else they are ``masked`` out.
     """
     h, w = mask.shape
-    rows, cols = -(-h // size), -(-w // size)
-    padded = np.zeros((rows * size, cols * size), np.int64)
-    padded[:h, :w] = mask != 0
-    counts = padded.reshape(rows, size, cols, size).sum((1, 3)) % 256
-    high = np.pad(counts > limit, 1)
+    high = np.pad(noise_grid(np.where(mask != 0, 255, 0), divisions) > limit, 1)
     noisy = high[1:-1, 1:-1] & (high[:-2, 1:-1] | high[2:, 1:-1] | high[1:-1, :-2] | high[1:-1, 2:])
+    keep = np.ones((h, w), bool)
     if not noisy.any():
-        return "clean", mask
+        return "clean", keep
     if noisy.mean() > 0.5:
-        return "skipped", mask
-    cover = np.kron(noisy, np.ones((size, size), bool))[:h, :w]
-    return "masked", np.where(cover, 0, mask).astype(mask.dtype)
+        return "skipped", keep
+    cover = np.kron(noisy, np.ones((h // divisions, w // divisions), bool))[:h, :w]
+    return "masked", ~cover
 
 
 def argmax_classes(planes: np.ndarray) -> np.ndarray:

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from staveline.functions import notation, rational, rounding, text
-from staveline.operators import intervals, runs, sequential, tiles
+from staveline.operators import images, intervals, runs, sequential, tiles
 from staveline.operators.components import connected_components
-from staveline.plans import tab
+from staveline.plans import layout, tab
 from staveline.sinks import musicxml
 
 FLAGSHIP = "lookup_pitch"
@@ -367,19 +367,11 @@ def array_union_keep_order(spark, sf_dir):
     return both.select("l_suppkey", F.array_join(merged.cast("array<string>"), ",").alias("parts"), F.size(merged).cast("long").alias("n"))
 
 
-@query("""
-    WITH p AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem WHERE l_orderkey < 400 GROUP BY 1)
-    SELECT a.l_orderkey, b.l_orderkey AS inside FROM p a JOIN p b ON a.l_orderkey <> b.l_orderkey AND a.l_orderkey // 8 = b.l_orderkey // 8 AND list_has_all(b.s, a.s)""")
-def subset_test(spark, sf_dir):
-    """Groups all of whose members another group of the same block holds too; the first orders only, as its SQL states."""
-    return _subsets(_t(spark, sf_dir, "lineitem").filter("l_orderkey < 400"))
-
-
 @query("""
     WITH p AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1)
     SELECT a.l_orderkey, b.l_orderkey AS inside FROM p a JOIN p b ON a.l_orderkey <> b.l_orderkey AND a.l_orderkey // 8 = b.l_orderkey // 8 AND list_has_all(b.s, a.s)""")
-def subset_test_whole(spark, sf_dir):
-    """``subset_test`` over every order."""
+def subset_test(spark, sf_dir):
+    """Groups all of whose members another group of the same block holds too."""
     return _subsets(_t(spark, sf_dir, "lineitem"))
 
 
@@ -514,6 +506,46 @@ def udf_batch_score(spark, sf_dir):
     return out.select("vec_id", F.round("score", 6).alias("score"))
 
 
+_PAGES = """
+    WITH dark AS (SELECT user_id AS page, event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec, CAST(floor(value) AS BIGINT) % 256 AS v FROM events),
+    px AS (SELECT page, (row_number() OVER (PARTITION BY page ORDER BY sec, event_id) - 1) AS k, v FROM dark),
+    img AS (SELECT page, k // 8 AS y, k % 8 AS x, v FROM px WHERE k // 8 < (SELECT count(*) FROM px q WHERE q.page = px.page) // 8)"""
+
+
+@query(_PAGES + """,
+    size AS (SELECT page, max(y) + 1 AS h FROM img GROUP BY page),
+    near AS (SELECT i.page, i.x, i.y, dx, dy, (CASE dx WHEN 0 THEN 2 ELSE 1 END) * (CASE dy WHEN 0 THEN 2 ELSE 1 END) * (CASE WHEN (dx = 0) <> (dy = 0) THEN -1 ELSE 1 END) AS w,
+                    CASE WHEN i.x + dx < 0 THEN 1 WHEN i.x + dx > 7 THEN 6 ELSE i.x + dx END AS nx,
+                    CASE WHEN h = 1 THEN 0 WHEN i.y + dy < 0 THEN 1 WHEN i.y + dy >= h THEN h - 2 ELSE i.y + dy END AS ny
+             FROM img i JOIN size USING (page), (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)),
+    resp AS (SELECT n.page, n.x, n.y, abs(sum(w * v)) AS r, max(h) AS h FROM near n JOIN size USING (page) JOIN img m ON m.page = n.page AND m.x = nx AND m.y = ny GROUP BY n.page, n.x, n.y)
+    SELECT page, CAST(max(h) AS BIGINT) AS height, round(sum(r) / (max(h) * 8), 6) AS noise FROM resp GROUP BY page""")
+def noise_estimate(spark, sf_dir):
+    """Mean absolute second-difference response of small planes: each user's event values, eight in a row, whole rows."""
+    e = _event_seconds(spark, sf_dir)
+    held = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("sec", "event_id", (F.floor("value") % 256).alias("v")))).alias("a"))
+    rows = held.select(F.col("user_id").alias("page"), F.floor(F.size("a") / 8).alias("height"), "a.v").filter("height > 0")
+    plane = F.struct(F.lit(8).alias("width"), F.col("height").cast("int").alias("height"), F.slice("v", 1, (F.col("height") * 8).cast("int")).alias("v"))
+    return images.noise(rows.select("page", "height", plane.alias("plane")), "plane").select("page", F.col("height").cast("long").alias("height"), F.round("noise", 6).alias("noise"))
+
+
+@query("""
+    WITH s AS (SELECT s_nationkey AS page, s_suppkey AS staff, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS k, 10 + s_suppkey % 4 AS unit FROM supplier),
+    p AS (SELECT a.page, a.staff AS upper, b.staff AS lower, (a.unit + b.unit) / 2.0 AS unit, a.k FROM s a JOIN s b ON b.page = a.page AND b.k = a.k + 1),
+    c AS (SELECT page, upper, lower, unit, k, 30 + upper % 40 AS away, 140 - upper % 60 AS shared FROM p)
+    SELECT page, upper, lower, CAST(CASE WHEN away < 5 * unit AND shared > 70 AND shared > away THEN shared - away ELSE 0 END AS DOUBLE) AS score FROM c""")
+def brace_score(spark, sf_dir):
+    """The score of a brace beside each two neighbouring staffs (suppliers of a nation, stacked)."""
+    w = Window.partitionBy("page").orderBy("s_suppkey")
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("page"), "s_suppkey").withColumn("k", F.row_number().over(w) - 1)
+    top = F.col("k") * 140.0
+    staffs = s.select("page", F.col("s_suppkey").alias("staff"), F.lit(100.0).alias("min_x"), F.lit(900.0).alias("max_x"), top.alias("min_y"), (top + 40).alias("max_y"), (10.0 + F.col("s_suppkey") % 4).alias("unit"))
+    # One brace a pair: 140 high, from as far above or below the pair as its id says.
+    braces = s.select("page", F.col("s_suppkey").alias("brace"), (100.0 - 30 - F.col("s_suppkey") % 40).alias("cx"), (top + 70 - F.col("s_suppkey") % 60).alias("cy"), F.lit(5.0).alias("w"), F.lit(140.0).alias("h"))
+    scored = layout.brace_scores(staffs, braces.withColumn("upper", F.col("brace")), own_pair=True)
+    return scored.select("page", "upper", "lower", "score")
+
+
 @query()
 def best_pair_greedy(spark, sf_dir):
     """Pairs of nations of a region by falling score, none used twice."""
@@ -582,25 +614,14 @@ def resolve_tab(spark, sf_dir):
     return tab.resolve(notes, lines)
 
 
-@query("""
-    WITH n AS (SELECT l_orderkey AS page, l_linenumber, p_size, CAST(l_quantity AS BIGINT) % 3 AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq
-               FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 2000),
-    x AS (SELECT page, seq, 1 AS num, [4, 8, 6][d + 1] AS den, p_size FROM n),
-    k AS (SELECT page, list_reduce(list_prepend(4, list(den)), lambda a, b: lcm(a, b)) // 4 AS divisions FROM x GROUP BY page)
-    SELECT page, divisions, sum(num * divisions * 4 // den) AS length, count(*) AS notes FROM x JOIN k USING (page) GROUP BY page, divisions""")
-def score_export(spark, sf_dir):
-    """Documents of notes, read back: divisions, sounding length and number of notes of each page; the first orders only, as its SQL states."""
-    return _exported(_t(spark, sf_dir, "lineitem").filter("l_orderkey < 2000"), _t(spark, sf_dir, "part"))
-
-
 @query("""
     WITH n AS (SELECT l_orderkey AS page, l_linenumber, p_size, CAST(l_quantity AS BIGINT) % 3 AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq
                FROM lineitem JOIN part ON l_partkey = p_partkey),
     x AS (SELECT page, seq, 1 AS num, [4, 8, 6][d + 1] AS den, p_size FROM n),
     k AS (SELECT page, list_reduce(list_prepend(4, list(den)), lambda a, b: lcm(a, b)) // 4 AS divisions FROM x GROUP BY page)
     SELECT page, divisions, sum(num * divisions * 4 // den) AS length, count(*) AS notes FROM x JOIN k USING (page) GROUP BY page, divisions""")
-def score_export_whole(spark, sf_dir):
-    """``score_export`` with a document for every order."""
+def score_export(spark, sf_dir):
+    """Documents of notes, read back: divisions, sounding length and number of notes of each page."""
     return _exported(_t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "part"))
 
 

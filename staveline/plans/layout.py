@@ -62,22 +62,28 @@ def in_sight(staffs: DataFrame, width: str = "width", height: str = "height") ->
     return staffs.join(mean, "page").filter(inside & ~(outer & narrow)).drop("__mean")
 
 
-def grand_staffs(staffs: DataFrame, braces: DataFrame, x_factor: float = 4.0, y_factor: float = 0.5) -> DataFrame:
-    """``page, upper, lower, score``: neighbouring staffs that a brace joins, best scores first, none used twice.
+def brace_scores(staffs: DataFrame, braces: DataFrame, x_factor: float = 5.0, y_factor: float = 0.5, *, own_pair: bool = False) -> DataFrame:
+    """``page, upper, lower, score`` of each two neighbouring staffs: their best brace's score, 0 without one.
 
-    A brace scores a pair by the rows it shares with them less its distance from their left edge, if it is nearer than
-    ``x_factor`` units and shares more than ``y_factor`` of its height.
+    A brace scores the rows it shares with the pair less its distance from the pair's left edge, if it is nearer than
+    ``x_factor`` units (the mean of both staffs'), shares more than ``y_factor`` of its height and more rows than that
+    distance. With ``own_pair`` a brace counts for the pair that its column ``upper`` names only.
     """
     w = Window.partitionBy("page").orderBy("min_y", "staff")
     pairs = staffs.select(
-        "page", F.col("staff").cast("long").alias("upper"), F.lead("staff").over(w).cast("long").alias("lower"), "min_y", "unit",
-        F.least("min_x", F.lead("min_x").over(w)).alias("left"), F.lead("max_y").over(w).alias("end"),
+        "page", F.col("staff").cast("long").alias("upper"), F.lead("staff").over(w).cast("long").alias("lower"), "min_y",
+        ((F.col("unit") + F.lead("unit").over(w)) / 2).alias("unit"), F.least("min_x", F.lead("min_x").over(w)).alias("left"), F.lead("max_y").over(w).alias("end"),
     ).filter("lower is not null")
-    met = pairs.join(braces, "page")
+    met = pairs.join(braces, ["page", "upper"] if own_pair else "page", "left")
     away = F.abs(F.col("left") - F.col("cx"))
     shared = F.least(F.col("cy") + F.col("h") / 2, F.col("end")) - F.greatest(F.col("cy") - F.col("h") / 2, F.col("min_y"))
     good = (away < x_factor * F.col("unit")) & (shared > y_factor * F.col("h")) & (shared > away)
-    scored = met.groupBy("page", "upper", "lower").agg(F.max(F.when(good, shared - away).otherwise(0.0)).alias("score"))
+    return met.groupBy("page", "upper", "lower").agg(F.max(F.when(good, shared - away).otherwise(0.0)).alias("score"))
+
+
+def grand_staffs(staffs: DataFrame, braces: DataFrame, x_factor: float = 5.0, y_factor: float = 0.5) -> DataFrame:
+    """``page, upper, lower, score``: neighbouring staffs that a brace joins, best scores first, none used twice."""
+    scored = brace_scores(staffs, braces, x_factor, y_factor)
     kind = staffs.schema["page"].dataType.simpleString()
     return greedy_pairs(scored, ["page"], f"page {kind}", "upper", "lower", "score")
 

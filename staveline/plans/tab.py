@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staveline.functions import notation
+from staveline.functions.notation import WHOLE
 
-#: A whole note in ticks: down to a double-dotted 32nd.
-WHOLE = 3840
 #: The metres that are tried where none is printed, in order of preference.
 METERS = ((4, 4), (2, 4), (3, 4), (6, 8), (2, 2), (9, 8), (12, 8))
 #: Lengths that notes without stems may share, longest first: whole, dotted half, half.

@@ -1,8 +1,9 @@
 """Intermediate tables that outlive lost executors.
 
 Iterative operators cut their lineage by writing Parquet into the folder that
-``spark.checkpoint.dir`` names. Where the setting is absent (tests, notebooks)
-one temporary folder per session is used instead.
+``spark.checkpoint.dir`` names. Where the setting is absent, a session in one
+process (tests, notebooks) uses one temporary folder; on a cluster, where other
+machines would not see that folder, it is an error.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="staveline-")

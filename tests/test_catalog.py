@@ -57,7 +57,7 @@ def test_entry_runs(spark):
 
 
 def test_subsets_are_found_in_every_order(spark, duck):
-    got = catalog.queries()["subset_test_whole"](spark, str(SF))
+    got = catalog.queries()["subset_test"](spark, str(SF))
     blocks, orders = {r.l_orderkey // 8 for r in got.collect()}, duck.execute("SELECT DISTINCT l_orderkey FROM lineitem").fetchall()
     assert max(blocks) >= 400 // 8 and max(blocks) <= max(o for (o,) in orders) // 8
 
@@ -65,5 +65,5 @@ def test_subsets_are_found_in_every_order(spark, duck):
 @pytest.mark.skipif(not SF.with_name("sf0.01").exists(), reason="needs the test tables")
 def test_a_document_is_written_for_every_order(spark):
     sf = SF.with_name("sf0.01")  # its orders reach beyond 2000
-    got = {r.page for r in catalog.queries()["score_export_whole"](spark, str(sf)).collect()}
+    got = {r.page for r in catalog.queries()["score_export"](spark, str(sf)).collect()}
     assert got == {o for (o,) in duckdb.sql(f"SELECT DISTINCT l_orderkey FROM '{sf}/lineitem.parquet'").fetchall()} and max(got) > 2000

@@ -66,7 +66,7 @@ def test_pitches(spark):
     assert [r[0] for r in spark.range(58, 63).select(notation.pitch_of_midi("id")).collect()] == ["A#3", "B3", "C4", "C#4", "D4"]
     near = [r[0] for r in spark.range(12).select(notation.nearest_octave("id", F.lit(60))).collect()]
     assert near == [60, 61, 62, 63, 64, 65, 54, 55, 56, 57, 58, 59]  # a tritone goes down
-    assert _one(spark, notation.ticks(F.lit(4), F.lit(1)))[0] == 384
+    assert _one(spark, notation.ticks(F.lit(4), F.lit(1)))[0] == 1440
 
 
 def test_text_parsers(spark):

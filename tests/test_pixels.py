@@ -21,15 +21,32 @@ def test_tiles_go_back_to_where_they_came_from():
     assert images.tile_starts(700, 320, 320) == [0, 320, 380] and images.tile_starts(9, 320, 320) == [0]
 
 
+def test_noise_is_the_mean_response_of_the_kernel():
+    r = np.random.default_rng(4)
+    kernel = np.outer([1, -2, 1], [1, -2, 1])
+    for shape in ((1, 1), (1, 5), (4, 1), (5, 7)):
+        tile = r.integers(0, 256, shape)
+        mirror = lambda k, n: 0 if n == 1 else -k if k < 0 else 2 * n - 2 - k if k >= n else k
+        total = 0
+        for y in range(shape[0]):
+            for x in range(shape[1]):
+                total += abs(sum(kernel[a + 1, b + 1] * tile[mirror(y + a, shape[0]), mirror(x + b, shape[1])] for a in (-1, 0, 1) for b in (-1, 0, 1)))
+        assert images.noise_of(tile) == pytest.approx(total / tile.size)
+
+
 def test_noise_needs_a_noisy_neighbour():
-    mask = np.zeros((40, 40), np.uint8)
-    mask[:10, :20] = 1
-    mask[30:, 30:] = 1
-    status, out = images.noise_grid(mask, 10, 50)
-    assert status == "masked" and out[:10, :20].sum() == 0 and out[30:, 30:].all()
-    assert images.noise_grid(np.zeros((9, 9), np.uint8), 3, 1)[0] == "clean"
-    assert images.noise_grid(np.ones((9, 9), np.uint8), 3, 1)[0] == "skipped"
-    assert images.noise_grid(np.ones((32, 16), np.uint8), 16, 50)[0] == "clean"  # 256 wraps to 0
+    board = np.indices((10, 10)).sum(0) % 2
+    mask = np.zeros((200, 205), np.uint8)
+    mask[:10, :20] = np.tile(board, (1, 2))
+    mask[100:110, 100:110] = board
+    grid = images.noise_grid(mask * 255)
+    assert grid.shape == (20, 21) and grid[0, 0] > 50 and grid[10, 10] > 50 and grid[5, 5] == 0
+    status, keep = images.without_noise(mask)
+    assert status == "masked" and not keep[:10, :20].any() and keep[100:110, 100:110].all() and keep.sum() == keep.size - 200
+    assert images.without_noise(np.zeros((40, 40), np.uint8))[0] == "clean"
+    assert images.without_noise((np.indices((40, 40)).sum(0) % 2).astype(np.uint8))[0] in ("skipped", "clean")
+    with pytest.raises(ValueError, match="too small"):
+        images.noise_grid(np.zeros((19, 40), np.uint8))
 
 
 def test_paper_is_cut_out():
