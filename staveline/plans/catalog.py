@@ -14,7 +14,7 @@ from staveline.functions import notation, rational, rounding, text
 from staveline.operators import images, intervals, runs, sequential, tiles
 from staveline.operators.components import connected_components
 from staveline.plans import layout, tab
-from staveline.sinks import musicxml
+from staveline.sinks import musicxml, score
 
 FLAGSHIP = "lookup_pitch"
 QUERIES: dict = {}
@@ -641,6 +641,30 @@ def _exported(li: DataFrame, part: DataFrame) -> DataFrame:
     return docs.select("page", "divisions", total.alias("length"), F.size(lengths).cast("long").alias("notes"))
 
 
+@query("""
+    WITH t AS (SELECT l_orderkey AS page, l_linenumber AS n, CAST(l_quantity AS BIGINT) % 4 AS k,
+                      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) AS back FROM lineitem),
+    d AS (SELECT page, list_reduce(list_prepend(4, list(CASE k WHEN 1 THEN 8 WHEN 2 THEN 16 ELSE 4 END)), lambda a, b: lcm(a, b)) AS division,
+                 count(*) FILTER (n % 3 = 0) + max(CASE WHEN back = 1 AND n % 3 <> 0 THEN 1 ELSE 0 END) AS measures, count(*) FILTER (k < 3) AS notes, count(*) FILTER (k = 3) AS rests,
+                 sum(CASE k WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END) AS sixteenths FROM t GROUP BY page)
+    SELECT page, division // 4 AS divisions, measures, notes, rests, CAST(sixteenths * division // 16 AS BIGINT) AS length FROM d""")
+def score_tokens(spark, sf_dir):
+    """Scores written from decoded tokens and read back: measures, notes, rests and sounding length of every order's page."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    line = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("long") % 4).alias("k"), F.row_number().over(w).alias("n"))
+    note = F.struct(F.element_at(F.array(*map(F.lit, ["note_4", "note_8", "note_8.", "rest_4"])), (F.col("k") + 1).cast("int")).alias("rhythm"), F.when(F.col("k") < 3, F.lit("A4")).otherwise("_").alias("pitch"))
+    bar = F.struct(F.lit("barline").alias("rhythm"), F.lit(".").alias("pitch"))
+    both = F.when(F.col("l_linenumber") % 3 == 0, F.array(note, bar)).otherwise(F.array(note))
+    tokens = line.select(F.col("l_orderkey").alias("page"), F.lit(0).alias("part"), "n", F.posexplode(both).alias("m", "t"))
+    head = lambda name, value: F.lit(value).alias(name)
+    tokens = tokens.select("page", "part", (F.col("n") * 2 + F.col("m")).alias("seq"), "t.rhythm", "t.pitch", head("lift", "_"), head("articulation", "_"), head("slur", "_"), head("position", "upper"), F.lit(None).cast("int").alias("column"))
+    out = score.scores(tokens)
+    numbers = lambda tag: F.transform(F.regexp_extract_all("xml", F.lit(f"<{tag}>([0-9]+)</{tag}>"), F.lit(1)), lambda x: x.cast("long"))
+    count = lambda piece: F.regexp_count("xml", F.lit(piece)).cast("long")
+    length = F.aggregate(numbers("duration"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("page", numbers("divisions")[0].alias("divisions"), count("<measure ").alias("measures"), count("<pitch>").alias("notes"), count("<rest />").alias("rests"), length.alias("length"))
+
+
 @query("""
     SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 <> 1 THEN 62 END AS top, CASE WHEN o_orderkey % 3 <> 1 THEN 59 + o_orderkey % 5 END AS second
     FROM orders""")

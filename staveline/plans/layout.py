@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from staveline.functions.rounding import _c, to_float32
 from staveline.functions.text import is_tempo_marking
-from staveline.operators.sequential import greedy_pairs
+from staveline.operators.sequential import greedy_pairs, move_table, walk_back
 
 #: Costs of the alignment of notes and columns.
 GAP, ATTENTION, ATTENTION_CAP = 1.0, 0.25, 3.0
@@ -129,32 +129,20 @@ def align_notes(events: DataFrame, columns: DataFrame, schema: str = "page long,
         ev = ev.sort_values("event")
         notes = list(zip(ev["x"], ev["position"], strict=True))
         cols = list(zip(*(co.sort_values("column")[c] for c in ("x", "positions", "column")), strict=True)) if "column" in co.columns else []
-        n, m = len(notes), len(cols)
         xs = np.array([c[0] for c in cols], float)
-        before, after = np.diff(xs, prepend=-np.inf), np.diff(xs, append=np.inf)
-        spacing = np.minimum(before, after) if m else xs
-        total = np.zeros((n + 1, m + 1))
-        move = np.zeros((n + 1, m + 1), int)
-        total[:, 0], total[0, :] = GAP * np.arange(n + 1), GAP * np.arange(m + 1)
-        move[1:, 0], move[0, 1:] = 1, 2
-        for i, (x, position) in enumerate(notes, 1):
-            for j, (cx, positions, _) in enumerate(cols, 1):
-                near = min((abs(position - p) for p in positions), default=9) if position is not None and not pd.isna(position) else 9
-                pitch = 0.0 if near == 0 else 0.5 if near == 1 else 1.0
-                away = 0.0 if x is None or pd.isna(x) else abs(x - cx) / spacing[j - 1]
-                options = (total[i - 1, j - 1] + pitch + ATTENTION * min(away, ATTENTION_CAP), total[i - 1, j] + GAP, total[i, j - 1] + GAP)
-                total[i, j] = min(options)
-                move[i, j] = options.index(total[i, j])
-        paired: list = [None] * n
-        i, j = n, m
-        while i or j:
-            if move[i, j] == 0:
-                i, j = i - 1, j - 1
+        spacing = np.minimum(np.diff(xs, prepend=-np.inf), np.diff(xs, append=np.inf)) if cols else xs
+
+        def costs(x, position) -> list[float]:
+            known = position is not None and not pd.isna(position)
+            near = [min((abs(position - p) for p in positions), default=9) if known else 9 for _, positions, _ in cols]
+            away = np.zeros(len(xs)) if x is None or pd.isna(x) else np.abs(x - xs) / spacing
+            return [min(n, 2) / 2 + ATTENTION * d for n, d in zip(near, np.minimum(away, ATTENTION_CAP).tolist(), strict=True)]
+
+        moves, _ = move_table((costs(*note) for note in notes), len(notes), len(cols), GAP)
+        paired: list = [None] * len(notes)
+        for i, j in walk_back(moves):
+            if i is not None and j is not None:
                 paired[i] = cols[j][2]
-            elif move[i, j] == 1:
-                i -= 1
-            else:
-                j -= 1
         out = pd.DataFrame({"event": ev["event"].to_numpy(), "column": pd.array(paired, "Int64")})
         out["page"], out["staff"] = key
         return out[["page", "staff", "event", "column"]]
