@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from staveline.functions import notation, rational, rounding, text
 from staveline.operators import images, intervals, runs, sequential, tiles
 from staveline.operators.components import connected_components
-from staveline.plans import layout, tab
+from staveline.plans import layout, tab, tab_text
 from staveline.sinks import musicxml, score
 
 FLAGSHIP = "lookup_pitch"
@@ -665,6 +665,22 @@ def score_tokens(spark, sf_dir):
     return out.select("page", numbers("divisions")[0].alias("divisions"), count("<measure ").alias("measures"), count("<pitch>").alias("notes"), count("<rest />").alias("rests"), length.alias("length"))
 
 
+@query("""
+    WITH o AS (SELECT o_orderkey, o_orderkey % 7 AS k, o_orderkey % 15 AS f, 5 + o_orderkey % 2 AS n FROM orders)
+    SELECT o_orderkey, CASE WHEN k = 0 AND f <= 12 THEN f WHEN k = 1 THEN 0 END AS capo,
+           CASE k WHEN 2 THEN 'read' WHEN 3 THEN CASE n WHEN 6 THEN 'read' ELSE 'string_count' END WHEN 4 THEN CASE n WHEN 5 THEN 'string_count' ELSE 'read' END WHEN 5 THEN 'unknown_name' END AS status,
+           CASE k WHEN 2 THEN CASE n WHEN 5 THEN 'D4 B3 G3 D3 G4' ELSE 'D4 B3 G3 D3 G2 D2' END WHEN 3 THEN 'D4 A3 G3 D3 A2 D2' WHEN 4 THEN 'E4 B3 G3 D3 A2 D2' END AS strings,
+           CASE k WHEN 6 THEN CASE n WHEN 5 THEN 'tenorBanjo' ELSE 'guitar' END END AS instrument
+    FROM o""")
+def tab_texts(spark, sf_dir):
+    """Capo, tuning and instrument read from a line of text for each order, worded by its id."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 7).cast("int").alias("k"), (F.col("o_orderkey") % 15).alias("f"), (5 + F.col("o_orderkey") % 2).cast("int").alias("n"))
+    words = [F.concat(F.lit("Capo on the "), F.col("f")), F.lit("sans capo"), F.lit("Open  G"), F.lit("accordage : D A D G A D"), F.lit("(6) = re"), F.lit("special tuning"), F.when(F.col("n") == 5, "Tenor Banjo").otherwise("pour guitare")]
+    line = F.element_at(F.array(*words), F.col("k") + 1)
+    read = o.select("o_orderkey", "n", line.alias("line")).withColumn("p", tab_text.parsed("line")).withColumn("t", tab_text.tuning("p", "n"))
+    return read.select("o_orderkey", F.col("p.capo").alias("capo"), F.col("t.status").alias("status"), F.array_join("t.strings", " ").alias("strings"), tab_text.instrument_kind("line").alias("instrument"))
+
+
 @query("""
     SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 <> 1 THEN 62 END AS top, CASE WHEN o_orderkey % 3 <> 1 THEN 59 + o_orderkey % 5 END AS second
     FROM orders""")
