@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staveline.llm.kernels import _ODD, NON_WORD, mix, runs, word_hashes, words
+from staveline.llm.kernels import _ODD, NON_WORD, give_back, mix, runs, word_hashes, words
 from staveline.llm.tables import BROADCAST_IDS, small_batches
 from staveline.sources.scratch import materialize
 
@@ -266,6 +266,7 @@ def clean(
         for batch in batches:
             keep = [not index.value.found(tokens, *limits) for tokens in token_hashes(batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staveline.llm.kernels import shingle_sets
+from staveline.llm.kernels import give_back, shingle_sets
 from staveline.llm.tables import BROADCAST_IDS, small_batches
 from staveline.operators.components import connected_components
 from staveline.sources.scratch import discard, materialize
@@ -82,6 +82,7 @@ def features(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
                 sig.append(signature(s, coordinates) if len(s) else np.zeros(0, np.int64))
             arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, h1, h2))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(sig, pa.list_(pa.int64()))], names)
+        give_back()
 
     return docs.mapInArrow(run, FEATURES)
 
@@ -98,6 +99,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, per_cent: int) ->
                 both = len(np.intersect1d(leaders[k], y, assume_unique=True))
                 keep.append(100 * both >= per_cent * (len(leaders[k]) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")

@@ -374,5 +374,6 @@ def scored(docs: DataFrame, machine: Machine | None, *, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.append_column(score_col, pa.array(shared.value.scores(batch.column(at))))
+        give_back()
 
     return rows.mapInArrow(run, rows.withColumn(score_col, F.lit(0.0)).schema)
