@@ -16,13 +16,12 @@ Jaccard similarity is at least ``per_cent`` / 100, confirmed on the full sets.
 4. Lists are merged from their most central class outwards: every class is
    compared with its list's leader, and lists whose classes then share a
    component are closed.
-5. Classes in lists still open are posted once more, under their rarest
-   shingles among such classes (with lengths and positions bounding the overlap
-   from above, so that a pair that can reach the threshold meets). What meets
-   in different components is counted and confirmed as before. No link between
-   components is missed, and no list of copies is spelled out in pairs. (Posting
-   under the rarest coordinates again instead makes 20 times the pairs where many
-   texts are alike below the threshold, as a third of their shingles is one passage.)
+5. Classes in lists still open are signed anew with ``WIDE`` coordinates, whose
+   floor lies closer to the threshold and whose prefix is shorter, and posted
+   under the rarest of them among such classes; ranks and set sizes bound the
+   agreement from above. What meets in different components is counted on the
+   wide signatures and confirmed as before. No link between components is missed
+   but with probability ``MISS``, and no list of copies is spelled out in pairs.
 
 The component of a document is the smallest id it reaches. Documents without
 words have an empty set, no links and are kept. Rows with a null id are dropped;
@@ -46,6 +45,8 @@ from staveline.operators.components import connected_components
 from staveline.sources.scratch import discard, materialize
 
 MISS = 1e-7
+#: Coordinates of the signatures of classes in lists that are open after the leader round.
+WIDE = 256
 _RNG = np.random.default_rng(77)
 _MUL = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -118,51 +119,36 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
 
 
-def _rare_pairs(texts: DataFrame, components: DataFrame, shingle: int, per_cent: int) -> DataFrame:
-    """Pairs ``a, b`` of different components that may reach the threshold.
+def _rare_pairs(rows: DataFrame, components: DataFrame, floor: int, per_cent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that may agree in ``floor`` coordinates of ``rows`` (``doc_id, n_shingles, sig``).
 
-    With shingles in order of their frequency here (then value), two sets that reach it share a shingle among the
-    first of either: the smaller set's first 1 + size - 2t/(1+t) size, the larger one's first 1 + size - t size. At
-    their first common shingle what is left of both must be enough. A component that holds most rows of a shingle
-    stands on one side of the join only.
+    Values are ordered by the number of their classes here (then value). Two classes that agree in ``floor`` pairs share
+    one among the first ``WIDE - floor + 1`` of each; at their first common one, what is left of both must be enough. A
+    component that holds most rows of a value stands on one side of the join only.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first in range(0, len(ids), 256):
-                sets = list(shingle_sets(batch.column(1).slice(first, 256), shingle))
-                sizes = [len(s) for s in sets]
-                own, of = np.repeat(ids[first : first + 256], sizes), np.repeat(np.array(sizes, np.int64), sizes)
-                held = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(of), pa.array(held)], ["doc_id", "size", "held"])
-
-    rows = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, held long")
-    rows = materialize(rows, "shingles")
-    common = rows.groupBy("held").agg(F.count("*").alias("n")).filter("n > 1")
-    posts = rows.join(common, "held").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "held"))).alias("p"))
-    # Shingles that one text holds come first and meet nothing.
-    reach = F.col("size") - F.ceil(F.col("size") * per_cent / 100) + 1
-    alone = F.col("size") - F.size("p")
-    posts = posts.select("doc_id", "size", alone.alias("alone"), F.slice("p", 1, F.greatest(F.lit(0), reach - alone).cast("int")).alias("p"))
-    posts = posts.select("doc_id", "size", F.posexplode("p").alias("k", "post"), "alone")
-    posts = posts.select("doc_id", "size", F.col("post.held").alias("held"), (F.col("k") + 1 + F.col("alone")).alias("rank"))
-    short = F.col("size") - F.ceil(F.col("size") * 2 * per_cent / (100 + per_cent)) + 1
-    posts = materialize(posts.join(components, "doc_id").withColumn("short", F.col("rank") <= short), "rare")
-    groups = posts.groupBy("held", "component").agg(F.count("*").alias("n"))
-    most = groups.groupBy("held").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("groups"))
-    most = most.filter("groups > 1").select("held", F.col("most.component").alias("big"))
-    x = posts.join(most, "held").filter("component != big").alias("x")
+    keys = rows.select("doc_id", F.explode("sig").alias("key"))
+    common = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    posts = keys.join(common, "key").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("p"))
+    # Values that one class alone holds come first and meet nothing.
+    posts = posts.filter(F.size("p") >= floor).withColumn("alone", WIDE - F.size("p"))
+    posts = posts.select("doc_id", "alone", F.slice("p", 1, F.greatest(F.lit(0), WIDE - floor + 1 - F.col("alone"))).alias("p"))
+    posts = posts.select("doc_id", "alone", F.posexplode("p").alias("k", "post"))
+    posts = posts.select("doc_id", F.col("post.key").alias("key"), (F.col("k") + 1 + F.col("alone")).alias("rank"))
+    sizes = rows.select("doc_id", F.col("n_shingles").alias("size"))
+    posts = materialize(posts.join(components, "doc_id").join(sizes, "doc_id"), "rare")
+    groups = posts.groupBy("key", "component").agg(F.count("*").alias("n"))
+    most = groups.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("groups"))
+    most = most.filter("groups > 1").select("key", F.col("most.component").alias("big"))
+    x = posts.join(most, "key").filter("component != big").alias("x")
     y = posts.alias("y")
-    x_first = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    left = 1 + F.least(F.col("x.size") - F.col("x.rank"), F.col("y.size") - F.col("y.rank"))
     met = (
-        (F.col("x.held") == F.col("y.held"))
+        (F.col("x.key") == F.col("y.key"))
         & (F.col("x.component") != F.col("y.component"))
-        & F.when(x_first, F.col("x.short")).otherwise(F.col("y.short"))
-        & (left * (100 + per_cent) >= (F.col("x.size") + F.col("y.size")) * per_cent)
+        & (WIDE - F.greatest(F.col("x.rank"), F.col("y.rank")) + 1 >= floor)
+        & (100 * F.least(F.col("x.size"), F.col("y.size")) >= per_cent * F.greatest(F.col("x.size"), F.col("y.size")))
     )
-    return x.join(y, met).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    ids = F.col("x.doc_id"), F.col("y.doc_id")
+    return x.join(y, met).select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b"))
 
 
 def _shared(pairs: DataFrame, reps: DataFrame, floor: int, per_cent: int) -> DataFrame:
@@ -224,12 +210,18 @@ def near_duplicates(
             break
         if last:
             members = open_lists.select("doc_id", "component").distinct()
-            pairs = _rare_pairs(_semi(texts, members.select("doc_id")), members, shingle, per_cent)
+            wide = features(_semi(texts, members.select("doc_id")), shingle, WIDE)
+            discard(reps)
+            reps = materialize(wide.select("doc_id", "n_shingles", "sig"), "signatures")
+            floor = match_floor(WIDE, per_cent / 100)
+            pairs = _rare_pairs(reps, members, floor, per_cent)
         else:
             leader = open_lists.groupBy("key").agg(F.max(F.struct("central", "doc_id")).alias("lead"))
             pairs = open_lists.join(leader.select("key", F.col("lead.doc_id").alias("a")), "key")
             pairs = pairs.filter("doc_id != a").select("a", F.col("doc_id").alias("b"))
-        found = materialize(confirm(_shared(pairs.distinct(), reps, floor, per_cent), texts, shingle, per_cent), "links")
+        pairs = materialize(pairs.distinct(), "pairs")
+        found = materialize(confirm(_shared(pairs, reps, floor, per_cent), texts, shingle, per_cent), "links")
+        discard(pairs)
         edges = found if edges is None else edges.union(found)
         stale, labels = labels, materialize(connected_components(edges), "components")
         if stale is not None:
