@@ -13,26 +13,12 @@ from pyspark.sql import functions as F
 from staveline.functions import notation, rational, rounding, text
 from staveline.operators import images, intervals, runs, sequential, tiles
 from staveline.operators.components import connected_components
-from staveline.plans import layout, tab, tab_text
+from staveline.plans import catalog_parts, layout, tab, tab_text  # noqa: F401  (catalog_parts registers its queries)
+from staveline.plans.registry import QUERIES, SQL, query
+from staveline.plans.registry import table as _t
 from staveline.sinks import musicxml, score
 
 FLAGSHIP = "lookup_pitch"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
 def queries() -> dict:
